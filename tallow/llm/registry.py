@@ -25,6 +25,15 @@ def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = "pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) {} 2"
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=fold.format("<>"))
+    return toxicity.score(docs, model).selectExpr("doc_id", f"coalesce({fold.format('=')}, false) AS held_out", "score", "predicted")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,8 +42,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import pii
+
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_media_webp, op8_byte_bpe)}
+    return {f.__name__: f for f in (op4_media_webp, op7_toxicity, op8_byte_bpe, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
