@@ -19,6 +19,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallow.llm import media
 
@@ -49,7 +55,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_media_webp, op7_toxicity, op8_byte_bpe, op9_pii)}
+    return {f.__name__: f for f in (op1_packing, op4_media_webp, op7_toxicity, op8_byte_bpe, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
