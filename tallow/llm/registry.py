@@ -25,6 +25,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import topk
+
+    vectors = topk.vectors_of(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import chat
+
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallow.llm import media
 
@@ -54,9 +67,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import lines
+
+    return lines.drop_recurring(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op4_media_webp, op7_toxicity, op8_byte_bpe, op9_pii)}
+    return {f.__name__: f for f in (op1_packing, op3_top_k, op4_media_webp, op5_chat, op7_toxicity, op8_byte_bpe, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallow.llm import oracles
+
+    return {"op3_top_k": oracles.TOP_K, "op5_chat": oracles.CHAT, "op10_line_dedup": oracles.LINES}
