@@ -25,6 +25,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallow.llm import topk
 
@@ -74,7 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op3_top_k, op4_media_webp, op5_chat, op7_toxicity, op8_byte_bpe, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op3_top_k, op4_media_webp, op5_chat, op7_toxicity, op8_byte_bpe, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
