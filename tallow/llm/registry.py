@@ -50,6 +50,12 @@ def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallow.llm import repeats
+
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallow.llm import toxicity
 
@@ -80,7 +86,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op3_top_k, op4_media_webp, op5_chat, op7_toxicity, op8_byte_bpe, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op3_top_k, op4_media_webp, op5_chat, op6_repeats, op7_toxicity, op8_byte_bpe, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
