@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,8 +83,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op3_top_k, op4_media_webp, op5_chat, op6_repeats, op7_toxicity, op8_byte_bpe, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op3_top_k, op4_media_webp, op5_chat, op6_repeats, op7_toxicity, op8_byte_bpe, op9_pii, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
