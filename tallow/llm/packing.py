@@ -16,7 +16,9 @@ longer than a sequence goes on in the next ones.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,21 +34,29 @@ SENTENCE_COST, HARD_COST = 2, 12
 STRIDE = 32
 #: Tokens of a block: far more than a sequence, far less than a worker's memory.
 BLOCK_TOKENS = 1 << 19
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS, SHORT_CHUNK = 1_500_000, 8
 MARK = "\x00"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _CHUNKS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others counted up from 256.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_ENDS = frozenset(".!?…。！？")
+_ENDS = frozenset(".!?")
 _tokenizers: dict[str, Tokenizer] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers; array is quicker than numpy for a few."""
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
+
+
 class Tokenizer:
     """Ids of whitespace-free chunks, kept in a bounded cache.
 
@@ -62,6 +72,10 @@ class Tokenizer:
         mark = self.own.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.cache: dict[str, bytes] = {}
+        #: By id: whether the token closes a sentence.
+        self.ends = np.zeros(max(self.own.get_vocab_size(), CLOSING_ID + 1), dtype=bool)
+        for token, i in self.own.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.removesuffix("</w>")[-1:] in _ENDS and token.endswith("</w>")
 
     @classmethod
     def get(cls, path: str) -> Tokenizer:
@@ -80,19 +94,28 @@ class Tokenizer:
         """
         cache = self.cache
         if len(cache) > CACHE_CHUNKS:
-            self.cache = cache = {c: cache[c] for c in chunks & cache.keys()}
-        new = chunks.difference(cache)
-        if not new:
-            return
-        self._encode({".", ",", *(c for c in new if not _WORD(c))}.difference(cache))
-        merges = self.own.model.tokenize
-        for c in new.difference(cache):
+            # short chunks come again most
+            self.cache = cache = {c: v for c, v in cache.items() if len(c) <= SHORT_CHUNK or c in chunks}
+            if len(cache) > CACHE_CHUNKS // 2:
+                self.cache = cache = {c: cache[c] for c in chunks & cache.keys()}
+        merges, others, words = self.own.model.tokenize, [], []
+        for c in chunks.difference(cache):
             word = c[:-1] if c[-1] in ".," else c
+            if (word.isascii() and word.isalpha()) or _WORD(word):
+                words.append((c, word))
+            else:
+                others.append(c)
+        self._encode({".", ",", *others}.difference(cache))
+        for c, word in words:
             low = word.lower()
             own = cache.get(low)
             if own is None:
-                own = cache[low] = np.array([t.id for t in merges(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_CHARS))], dtype="<u4").tobytes()
-            cache[c] = own if len(word) == len(c) else own + cache[c[-1]]
+                text = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_CHARS)
+                own = cache[low] = _packed([t.id for t in merges(text)])
+            if word is not c:
+                cache[c] = own + cache[c[-1]]
+            elif low != c:
+                cache[c] = own
 
     def _encode(self, chunks: set[str]) -> None:
         """Many chunks to a call, a mark between them."""
@@ -114,27 +137,22 @@ class Tokenizer:
 
 
 def chunks_of(text: str) -> list[str]:
-    return text.split() if text.isascii() and not _SEPARATORS.search(text) else _CHUNKS.findall(text)
+    return text.lower().split() if text.isascii() and not _SEPARATORS.search(text) else _CHUNKS.findall(text)
 
 
-def tokens_of(texts: list[str | None], tokenizer: Tokenizer) -> Iterator[tuple[bytes, np.ndarray]]:
+def tokens_of(texts: list[str | None], tokenizer: Tokenizer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per text: ids with the closing id, and ascending ends (in tokens) of its sentences."""
     split = [chunks_of(t or "") for t in texts]
     tokenizer.learn(set().union(*split))
     get, close = tokenizer.cache.__getitem__, np.array([CLOSING_ID], "<u4").tobytes()
     for chunks in split:
-        parts = list(map(get, chunks))
-        stops = [i for i, c in enumerate(chunks) if c[-1] in _ENDS]
-        ends = np.cumsum(list(map(len, parts)), dtype=np.int64)[stops] // 4 if stops else np.zeros(0, np.int64)
-        parts.append(close)
-        yield b"".join(parts), ends
+        ids = np.frombuffer(b"".join(map(get, chunks)) + close, "<u4")
+        yield ids, np.flatnonzero(tokenizer.ends[ids]) + 1
 
 
 def cuts_of(total: int, sentences: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a document of `total` tokens may be cut, its end included, and what each cut costs."""
-    soft = sentences[(sentences > 0) & (sentences < total)]
-    if len(soft) > 1:
-        soft = soft[np.concatenate([[True], soft[1:] > soft[:-1]])]
+    soft = sentences[: int(np.searchsorted(sentences, total))]
     at = np.append(soft, total)
     cost = np.append(np.full(len(soft), SENTENCE_COST), 0)
     gaps = np.diff(at, prepend=0)
@@ -187,8 +205,7 @@ class Packer:
         self.cost: list[int] = []
         self.size = 0
 
-    def add(self, doc_id, ids: bytes, sentences: np.ndarray) -> Iterator[tuple]:
-        own = np.frombuffer(ids, "<u4")
+    def add(self, doc_id, own: np.ndarray, sentences: np.ndarray) -> Iterator[tuple]:
         at, cost = cuts_of(len(own), sentences, self.stride)
         self.docs.append((doc_id, own, 0, self.size))
         self.at += (at + self.size).tolist()
