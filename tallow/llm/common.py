@@ -54,8 +54,8 @@ def row_key(*cols: str | Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", *texts)))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut to about SLICE_BYTES of text each; a longer text is a slice of its own."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about `size` bytes of text each; a longer text is a slice of its own."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -64,7 +64,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         i = 0
         while i < n:
             base = ends[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+            j = max(i + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(i, j - i)
             i = j
 

@@ -38,6 +38,8 @@ GROUP = 100_000
 FILTER_PER, FILTER_LEAST, FILTER_MOST = 16, 20, 28
 PART_BYTES = 1 << 16
 SEEN_TEXTS = 1 << 20
+#: Text bytes whose anchors are sought at a time; that takes about a hundred bytes of memory each.
+SLICE = 1 << 21
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 SPANS = "text_key binary, start long, stop long"
@@ -105,7 +107,7 @@ def _counted(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=SLICE):
             own, keys = _texts(batch, seen)
             if not keys:
                 continue
@@ -187,7 +189,7 @@ def _suffixes(texts: DataFrame, repeated: Filter, hot: Filter | None, length: in
         keep = Filter(wanted.value[0], np.frombuffer(wanted.value[1], np.uint8))
         often = Filter(frequent.value[0], np.frombuffer(frequent.value[1], np.uint8)) if frequent is not None else None
         seen: set[bytes] = set()
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=SLICE):
             own, keys = _texts(batch, seen)
             if not keys:
                 continue
