@@ -9,7 +9,8 @@ and no task holds more than a block. The group's k best per query are then ranke
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite component, and rows without a vec_id, take
 no part; rows that repeat a vec_id count as one, the smallest vector; vectors of another length than the query's
-are not its candidates; ties go to the smaller vec_id; other columns are ignored; an empty table gives no rows.
+are not its candidates; ties go to the smaller vec_id; scores are exact, and those beyond a long's range count as its nearest
+end; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SCALE = 256
 #: Queries of a block.
 BLOCK = 4096
 LEVELS = (4, 16, 32)
+#: A long's range.
+LEAST, MOST = -(2**63), 2**63 - 1
 SCHEMA = "query_id long, vec_id long, score long"
 #: Share of pairs left above which the exact step multiplies whole matrices.
 DENSE = 0.05
@@ -75,7 +78,8 @@ class Best:
             pairs = zip(*np.nonzero(alive)) if alive is not None else ((i, j) for i in range(len(qi)) for j in range(len(xi)))
             found: dict[int, list] = {}
             for i, j in pairs:
-                found.setdefault(int(i), []).append((-sum(a * b for a, b in zip(qi[i], xi[j], strict=True)), int(ids[j])))
+                exact = sum(a * b for a, b in zip(qi[i], xi[j], strict=True))
+                found.setdefault(int(i), []).append((-max(LEAST, min(MOST, exact)), int(ids[j])))
             for i, own in found.items():
                 self._merge(i, own)
             return
@@ -102,7 +106,8 @@ class Best:
         own = int(self.ids[i])
         self.top[i] = sorted({*self.top[i], *(p for p in new if p[1] != own)})[: self.k]
         if len(self.top[i]) == self.k:
-            self.floor[i] = float(-self.top[i][-1][0])
+            worst = -self.top[i][-1][0]
+            self.floor[i] = float(worst) if worst > LEAST else -np.inf
 
 
 def vectors_of(df: DataFrame) -> DataFrame:
