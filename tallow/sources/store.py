@@ -118,7 +118,7 @@ def build(e: Entry, key: str, spec: archive.Spec, fetch: Callable[[str], bytes])
         sha = ensure(e, key, fetch)
         content = e.zip.read_bytes()
     stamp = {STAMP_SHA: sha.encode(), STAMP_FILE: e.zip.name.encode()}
-    return publish(e.parquet, lambda f: parquet_batches(archive.batches(archive.decode(content, spec)), f, stamp))
+    return publish(e.parquet, lambda f: parquet_batches(archive.decode_batches(content, spec), f, stamp))
 
 
 def key_of(symbol: str, interval: Interval, kind: Kind, start) -> str:

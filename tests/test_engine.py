@@ -231,6 +231,32 @@ def changed(**fields):
 def test_rejected(lines):
     with pytest.raises(CorruptArchiveError):
         decoded(*lines)
+    with pytest.raises(CorruptArchiveError):
+        both_ways(lines)
+    spec = archive.Spec(HOUR, dt.datetime(2024, 12, 31, tzinfo=UTC), dt.datetime(2025, 1, 1, tzinfo=UTC))
+    assert archive._columns(zipped("a.zip", [x.split(",") for x in lines]), spec) is None
+
+
+def both_ways(lines):
+    """The column-wise reader gives what the strict one gives, or leaves the file to it."""
+    spec = archive.Spec(HOUR, dt.datetime(2024, 12, 31, tzinfo=UTC), dt.datetime(2025, 1, 1, tzinfo=UTC))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.csv", "\n".join(lines))
+    fast, slow = archive._columns(out.getvalue(), spec), list(archive.decode(out.getvalue(), spec))
+    return fast, [tuple(r.values()) for b in archive.decode_batches(out.getvalue(), spec) for r in b.to_pylist()], slow
+
+
+@pytest.mark.parametrize("lines", [(BASE,), ("a,b,c,d,e,f,g,h,i,j,k,l", BASE), (BASE, changed(open_time="1735606800000000", close_time="1735610399999999", volume="118661604939.99255335"))])
+def test_columns_equal_rows(lines):
+    fast, got, slow = both_ways(lines)
+    assert fast is not None and got == slow and fast.num_rows == len(slow)
+
+
+@pytest.mark.parametrize("lines", [(), ("\ufeff" + BASE,), ("a,b,c,d,e,f,g,h,i,j,k,l",), (changed(open="+10.0"),)])
+def test_rows_where_columns_give_up(lines):
+    fast, got, slow = both_ways(lines)
+    assert fast is None and got == slow
 
 
 @pytest.mark.parametrize(
