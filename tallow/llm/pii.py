@@ -5,7 +5,8 @@ numbers, IBANs (checksum), IPv4 addresses, ISO and day-first dates, and e-mail a
 normalised, permuted under a key inside its own format, and written back with its separators, so that equal
 values stay linked in every document and each pseudonym is again a valid value of its kind:
 
-* numbers: a balanced Feistel network over the free digits, walking on until the result is in the domain
+* numbers: a balanced Feistel network over the free digits, walking on until the result is in the domain; the
+  pseudonym is the value that comes next in the network's order, so that none is its own pseudonym
   (cards keep their first six digits' length class and get a new Luhn digit; octets stay under 256);
 * dates: the day number within 1900-01-01 .. 2099-12-31 is permuted, with the same walk;
 * e-mail: letters and digits of the local part are permuted as base-26 and base-10 numbers; the domain stays.
@@ -112,7 +113,8 @@ class Pseudonyms:
         own = self._feistel.get((label, n))
         if own is None:
             own = self._feistel[label, n] = Feistel(self.key, label, n)
-        return own.forward(v)
+        # one step along the permuted order: a permutation too, and one that leaves no value as it was
+        return own.inverse((own.forward(v) + 1) % n)
 
     def digits(self, label: str, text: str) -> str:
         return f"{self.permute(f'{label}{len(text)}', int(text), 10 ** len(text)):0{len(text)}d}" if text else ""

@@ -65,3 +65,11 @@ def test_table(spark):
     plain = pii.pseudonymise(docs, counts=False)
     assert plain.columns == docs.columns and sorted(r.pii_email for r in plain.collect()) == [5, 5, 6, 7, 8]
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_no_value_is_its_own_pseudonym():
+    assert sorted(OWN.permute("t", v, 1000) for v in range(1000)) == list(range(1000))
+    assert all(OWN.permute("t", v, 1000) != v for v in range(1000))
+    emails = [f"{a}{b}@x.example" for a in "abcdefghij" for b in range(10)]
+    assert not set(zip(emails, emails, strict=True)) & {(e, OWN.replace("email", e)) for e in emails}
+    assert len({OWN.replace("email", e) for e in emails}) == len(emails)
