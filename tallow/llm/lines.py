@@ -31,6 +31,9 @@ SEGMENTS, VARIABLE = 4, 1
 #: Fewest tokens of a line whose leaf may be generalised.
 GENERAL_TOKENS = 8
 
+#: Working columns beside the table's own.
+KEY, GONE = "tallow_text_key", "tallow_gone_lines"
+
 _TEMPLATE = r"regexp_replace(trim(regexp_replace(l, '[ \\t\\r\\x0B\\f]+', ' ')), '(?<![^ ])[^ 0-9@]*[0-9@][^ ]*', '<*>')"
 
 
@@ -87,16 +90,16 @@ def drop_recurring(docs: DataFrame, column: str = "text", min_docs: int = MIN_DO
     gone = (
         lines.join(found, "template", "left_semi").select("text_key", "at")
         .unionByName(lines.where("leaf IS NOT NULL").join(leaves, "leaf", "left_semi").select("text_key", "at"))
-        .groupBy("text_key").agg(F.collect_set("at").alias("gone_lines"))
+        .groupBy("text_key").agg(F.collect_set("at").alias(GONE)).withColumnRenamed("text_key", KEY)
     )
-    own = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("text_key", F.md5(F.col(column).cast("binary")))
+    own = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(KEY, F.md5(F.col(column).cast("binary")))
     # a text's lines to drop are few small rows; hashing them spares a sort of the texts
-    joined = own.join(gone.hint("shuffle_hash"), "text_key", "left")
+    joined = own.join(gone.hint("shuffle_hash"), KEY, "left")
     parts = f"split(`{column}`, '\\n', -1)"
-    text = F.expr(f"if(gone_lines IS NULL, `{column}`, array_join(transform(array_except(sequence(0, size({parts}) - 1), gone_lines), i -> {parts}[i]), '\\n'))")
+    text = F.expr(f"if({GONE} IS NULL, `{column}`, array_join(transform(array_except(sequence(0, size({parts}) - 1), {GONE}), i -> {parts}[i]), '\\n'))")
     n_lines = F.expr(f"if(coalesce(`{column}`, '') = '', 0, length(`{column}`) - length(replace(`{column}`, '\\n', '')) + 1)")
     return joined.select(
         *[text.alias(c) if c == column else F.col(f"`{c}`") for c in kept],
         n_lines.alias("n_lines"),
-        F.expr("coalesce(size(gone_lines), 0)").cast("int").alias("n_dropped"),
+        F.expr(f"coalesce(size({GONE}), 0)").cast("int").alias("n_dropped"),
     )

@@ -2,7 +2,7 @@ from tallow.llm import lines, oracles
 
 import duckdb
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, first long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, text_key long"
 
 
 def docs_of():
@@ -21,7 +21,7 @@ def test_equals_sql(spark):
     rows = [(a, b, "en", "s", 1, "x", 2) for a, b in docs_of()]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = lines.drop_recurring(df)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "first", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "text_key", "n_lines", "n_dropped"]
     c = duckdb.connect()
     documents = df.select("doc_id", "text", "lang", "source", "n_chars").toPandas()  # noqa: F841
     want = c.sql(oracles.LINES).fetchall()
@@ -30,6 +30,7 @@ def test_equals_sql(spark):
     pick = [names.index(n) for n in ("doc_id", "text", "n_lines", "n_dropped")]
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=key) == sorted((tuple(None if r[i] != r[i] else r[i] for i in pick) for r in want), key=key)
     by = {r.doc_id: r for r in got.collect()}
+    assert {r.text_key for r in by.values()} == {2}
     assert "Page" not in by[7].text and "one two" in by[7].text and by[105].n_dropped == 0 and by[200].text is None and by[203].text == ""
 
 
