@@ -146,8 +146,13 @@ class CandleEngine:
                     self.progress(Progress(len(ready) + i + 1, total, c, counts.get(i, 0)))
             places = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("span"))
             parts.append(rows.select(*COLUMNS, places.cast("int").alias("chunk_ord")))
-        df = reduce(DataFrame.unionByName, parts).withColumn("request", F.lit(1))
-        return series.strictly_increasing(df, ["request"], ["chunk_ord", "open_time"]).select(*COLUMNS).orderBy("open_time")
+        df = reduce(DataFrame.unionByName, parts)
+        spans = sorted([*ready, *live])
+        if any(a.end > b.start for a, b in zip(spans, spans[1:], strict=False)):
+            # chunks that overlap: keep what rises, in their order
+            df = series.strictly_increasing(df.withColumn("request", F.lit(1)), ["request"], ["chunk_ord", "open_time"])
+        # otherwise every chunk's candles rise and stay in its own span, so a distributed sort is all there is to do
+        return df.select(*COLUMNS).orderBy("open_time")
 
     def _check(self, request: Request, c: Chunk, n: int, now: dt.datetime) -> None:
         start, end = max(c.start, request.start), min(c.end, request.end_exclusive)

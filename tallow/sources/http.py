@@ -107,3 +107,21 @@ def get(transport: Transport, what: str, policy: Policy = Policy(), limiter: Lim
         asked = retry_after({k.lower(): v for k, v in r.headers.items()}.get("retry-after"), clock())
         sleep(max(policy.backoff(attempt, rng), min(asked or 0.0, RETRY_AFTER_CAP)))
     raise AssertionError("unreachable")
+
+
+#: How often, and between which bounds in seconds, the whole source is left alone after a 429 that retries did not clear.
+PAUSES, PAUSE_LEAST, PAUSE_MOST = 2, 1.0, 60.0
+
+
+def get_patiently(transport: Transport, what: str, policy: Policy = Policy(), limiter: Limiter | None = None, pause: float = 10.0, sleep=time.sleep, **options) -> bytes:
+    """get, with a long pause and another try where the source stays busy; a ban is never retried."""
+    for left in range(PAUSES, -1, -1):
+        try:
+            return get(transport, what, policy, limiter, sleep=sleep, **options)
+        except BannedError:
+            raise
+        except RateLimitedError:
+            if not left:
+                raise
+            sleep(min(PAUSE_MOST, max(PAUSE_LEAST, pause)))
+    raise AssertionError("unreachable")

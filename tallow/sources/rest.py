@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallow.model import CANDLE_SCHEMA, WIRE, CorruptArchiveError, Interval, InvalidRequestError, NotAvailableError, TallowError, micros_of
 from tallow.sources.archive import Spec, batches, decode_row
-from tallow.sources.http import Limiter, Policy, Transport, get
+from tallow.sources.http import Limiter, Policy, Transport, get_patiently
 
 PAGE, MAX_PAGES, BODY_BYTES = 1000, 1000, 4 << 20
 
@@ -58,7 +58,7 @@ class RestClient:
         at, before = spec.start, None
         for _ in range(MAX_PAGES):
             try:
-                body = get(self.transport, query_of(symbol, spec.interval, at, spec.end, self.page), self.policy, self.limiter, **self.options)
+                body = get_patiently(self.transport, query_of(symbol, spec.interval, at, spec.end, self.page), self.policy, self.limiter, **self.options)
             except NotAvailableError as e:
                 raise TallowError(f"the live source does not answer: {e}") from None
             rows = decode_page(body)

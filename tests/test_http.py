@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tallow.model import BannedError, NotAvailableError, RateLimitedError, TallowError
-from tallow.sources.http import Limiter, Policy, Response, get, retry_after
+from tallow.sources.http import Limiter, Policy, Response, get, get_patiently, retry_after
 
 
 def run(*answers, **more):
@@ -45,3 +45,16 @@ def test_limiter_and_policy():
     assert [Policy().bound(i) for i in range(1, 7)] == [0.5, 1, 2, 4, 8, 8]
     with pytest.raises(ValueError):
         Limiter(0)
+
+
+def test_pauses():
+    answers, slept = [Response(429)] * 4 + [Response(200, b"y")], []
+    assert get_patiently(lambda w: answers.pop(0), "k", pause=99, sleep=slept.append, rng=random.Random(1)) == b"y" and slept[-1] == 60
+    calls = []
+    with pytest.raises(RateLimitedError):
+        get_patiently(lambda w: (calls.append(w), Response(429))[1], "k", sleep=lambda s: None)
+    assert len(calls) == 12
+    calls.clear()
+    with pytest.raises(BannedError):
+        get_patiently(lambda w: (calls.append(w), Response(418))[1], "k", sleep=lambda s: None)
+    assert len(calls) == 1
