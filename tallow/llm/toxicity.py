@@ -29,6 +29,8 @@ from tallow.llm.common import cut, text_bytes, text_slices
 #: Labelled rows that a model is fitted on at most.
 MAX_ROWS = 20_000
 LEXICON_SIZE = 64
+#: Lengths of word beginnings that are learned, besides whole words.
+LEAST_START, MOST_START = 3, 7
 THRESHOLD = 0.3
 
 # Common insults, and second-person pronouns, in English, German, French and Spanish.
@@ -62,23 +64,38 @@ _CLASS[ord("?")] = 6
 _CLASS[[ord(c) for c in "*#$%&@^~|<>\\/=+"]] = 9
 
 
-def features(text: str, raw: np.ndarray, learned: dict[str, float]) -> list[float]:
+class Lexicon:
+    """Learned units: words, and beginnings of words (written with a final *), with their weights."""
+
+    def __init__(self, units: dict[str, float]):
+        self.words = {u: w for u, w in units.items() if not u.endswith("*")}
+        self.starts = {u[:-1]: w for u, w in units.items() if u.endswith("*")}
+        self.heads = {u[:LEAST_START] for u in (*self.words, *self.starts)}
+        self.sizes = sorted({len(u) for u in self.starts})
+
+    def weight(self, word: str) -> float:
+        return max([self.words.get(word, 0.0), *(self.starts.get(word[:n], 0.0) for n in self.sizes)])
+
+
+def features(text: str, raw: np.ndarray, learned: Lexicon) -> list[float]:
     kinds = np.bincount(_CLASS[raw], minlength=10)
     letters, size = max(1, int(kinds[1] + kinds[2] + kinds[8])), max(1, len(raw))
     words = WORD.findall(text.lower())
     n = max(1, len(words))
     hits = [i for i, w in enumerate(words) if w in INSULTS]
-    own = [i for i, w in enumerate(words) if w in learned]
+    heads = learned.heads
+    weights = {i: x for i, w in enumerate(words) if w[:LEAST_START] in heads and (x := learned.weight(w))}
+    own = list(weights)
     masked = 0
     hidden = 0
     if kinds[3] or kinds[5] or kinds[7] or kinds[9]:
         for m in MASKED.findall(text):
             masked += 1
             w = m.lower().translate(LOOKALIKE)
-            hidden += (w in INSULTS or w in learned) and m.lower() not in INSULTS
+            hidden += (w in INSULTS or learned.weight(w) > 0) and m.lower() not in INSULTS
     for m in SPACED.findall(text):
         w = "".join(WORD.findall(m.lower()))
-        hidden += w in INSULTS or w in learned
+        hidden += w in INSULTS or learned.weight(w) > 0
     both = sorted({*hits, *own})
     pronouns = [i for i, w in enumerate(words) if w in SECOND]
     near = 0
@@ -95,7 +112,7 @@ def features(text: str, raw: np.ndarray, learned: dict[str, float]) -> list[floa
     shouted = sum(map(str.isupper, text.split())) if kinds[2] else 0
     return [
         math.log1p(n), len(hits) / n, math.log1p(len(hits)), len({words[i] for i in hits}), peak, len(own) / n, math.log1p(len(own)),
-        sum(learned[words[i]] for i in own) / n, near / n, len(pronouns) / n, hidden / n, masked / n, kinds[2] / letters, shouted / n,
+        sum(weights.values()) / n, near / n, len(pronouns) / n, hidden / n, masked / n, kinds[2] / letters, shouted / n,
         kinds[5] / size, kinds[6] / size, kinds[7] / size, kinds[3] / size, kinds[9] / size, len(set(words)) / n,
     ]
 
@@ -239,13 +256,14 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, usabl
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
-    """Words by the lower bound of their log-odds under label 1, over documents."""
+    """Words and beginnings of words by the lower bound of their log-odds under label 1, over documents."""
 
     def run(batches):
         for batch in batches:
             got: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for w in set(WORD.findall(text.lower())):
+                words = set(WORD.findall(text.lower()))
+                for w in words | {w[:k] + "*" for w in words for k in range(LEAST_START, min(MOST_START, len(w) - 1) + 1)}:
                     got.setdefault(w, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v[1] for v in got.values()], pa.int64()), pa.array([v[0] for v in got.values()], pa.int64())], ["word", "pos", "neg"])
 
@@ -257,21 +275,38 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]
     bound = odds - 1.96 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     found = (
         rows.mapInArrow(run, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((F.col("pos") >= max(3, 0.02 * n_pos)) & (F.length("word") > 1)).withColumn("bound", bound).where("bound > 1.4").orderBy(F.desc("bound"), "word").limit(size).collect()
+        .where((F.col("pos") >= max(3, 0.02 * n_pos)) & (F.length("word") >= LEAST_START)).withColumn("bound", bound).where("bound > 1.4").orderBy(F.desc("bound"), "word").limit(16 * size).collect()
     )
-    return {r.word: float(r.bound) for r in found}
+    return choose_units([(r.word, r.pos, r.neg, float(r.bound)) for r in found], size)
+
+
+def choose_units(found: list[tuple[str, int, int, float]], size: int) -> dict[str, float]:
+    """The best units by bound, without those that a longer one with the same counts or a better shorter one says as well."""
+    bare = {u.rstrip("*"): (u, p, n, b) for u, p, n, b in sorted(found, key=lambda x: x[0].endswith("*"), reverse=True)}
+    out: dict[str, float] = {}
+    for u, p, n, b in sorted(bare.values(), key=lambda x: (-x[3], x[0])):
+        w = u.rstrip("*")
+        shorter = (bare[w[:k]] for k in range(LEAST_START, len(w)) if w[:k] in bare and bare[w[:k]][0].endswith("*"))
+        longer = (x for v, x in bare.items() if len(v) > len(w) and v.startswith(w))
+        if any(x[1] > p and x[3] >= b - 0.1 for x in shorter) or any(x[1:3] == (p, n) for x in longer):
+            continue
+        out[u] = b
+        if len(out) == size:
+            break
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, usable=None) -> Model:
     """Fit on labelled documents; `usable` is a condition on doc_id that says whose labels may be used."""
     rows = cut(labelled(docs, labels, max_rows, usable), "labelled")
     lexicon = learn_lexicon(rows)
+    index = Lexicon(lexicon)
     names = ", ".join(f"{n} double" for n in NAMES)
 
     def run(batches):
         for batch in text_slices(batches):
             raw, offs = text_bytes(batch.column("text"))
-            x = np.array([features(t, raw[a:b], lexicon) for t, a, b in zip(batch.column("text").to_pylist(), offs[:-1], offs[1:], strict=True)])
+            x = np.array([features(t, raw[a:b], index) for t, a, b in zip(batch.column("text").to_pylist(), offs[:-1], offs[1:], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(x[:, i]) for i in range(len(NAMES)))], ["doc_id", "toxic", *NAMES])
 
     got = rows.mapInArrow(run, f"doc_id long, toxic int, {names}").toPandas().sort_values(["doc_id", *NAMES], kind="stable")
@@ -286,11 +321,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
+    index = Lexicon(model.lexicon)
+
     def run(batches):
         for batch in text_slices(batches):
             column = batch.column(batch.schema.get_field_index("text"))
             raw, offs = text_bytes(column)
-            x = np.array([features(t or "", raw[a:b], model.lexicon) for t, a, b in zip(column.to_pylist(), offs[:-1], offs[1:], strict=True)])
+            x = np.array([features(t or "", raw[a:b], index) for t, a, b in zip(column.to_pylist(), offs[:-1], offs[1:], strict=True)])
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 

@@ -62,3 +62,10 @@ def test_isotonic_and_trees():
     assert ((s >= 0.5) == (y == 1)).mean() > 0.9
     at, level = toxicity.isotonic(model.raw(x), y)
     assert (np.diff(at) > 0).all() and (np.diff(level) >= 0).all() and 0 <= level[0] and level[-1] <= 1
+
+
+def test_units_say_different_things():
+    found = [("trash", 50, 0, 4.0), ("tra*", 50, 0, 4.0), ("tras*", 50, 0, 4.0), ("achlicher", 16, 0, 2.7), ("achliche*", 35, 1, 3.5), ("achlich*", 66, 2, 3.9), ("zork", 9, 0, 2.0)]
+    assert toxicity.choose_units(found, 10) == {"trash": 4.0, "achlich*": 3.9, "zork": 2.0}
+    own = toxicity.Lexicon({"trash": 4.0, "achlich*": 3.9})
+    assert [own.weight(w) for w in ("trash", "trashy", "achlichst", "achli", "x")] == [4.0, 0.0, 3.9, 0.0, 0.0]
