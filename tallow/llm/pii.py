@@ -14,6 +14,9 @@ values stay linked in every document and each pseudonym is again a valid value o
 A 16-digit run is taken as a card only if its Luhn digit holds or `strict_cards` is off: then any lone run
 of 16 digits counts, which is how card-like account numbers are logged.
 
+A number beside a value may be taken for a part of it. So where the longest match isn't valid, shorter ones that
+end at a token's edge are tried, for cards later starts too, and the search goes on right after the failed start.
+
 Edge cases: a null text stays null with zero counts; repeated rows each give a row; all other columns pass
 through unchanged; an empty table gives an empty result.
 """
@@ -50,6 +53,14 @@ FIND = re.compile(
     re.ASCII,
 )
 
+#: The digits from a card's start on, far enough for the longest card after the most digits that may be passed over.
+_CARD_RUN = re.compile(r"\d(?:[ \-]?\d){12,24}", re.ASCII)
+_DIGITS, _LETTER, _HYPHEN = (re.compile(p, re.ASCII) for p in (r"\d+", r"\w", r"-\d"))
+_EDGES = re.compile(r"(?<=[^\W_])[ .\-]+", re.ASCII)
+#: Shortest and longest card, and how their digits are usually grouped, beside one group of all.
+CARD_DIGITS = (13, 19)
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (6, 13)}
+
 
 class Feistel:
     """A keyed permutation of 0 .. n - 1: a balanced binary network, walked until it lands inside."""
@@ -229,18 +240,72 @@ class Pseudonyms:
         local, _, domain = value.rpartition("@")
         return f"{self._runs('email@' + domain.lower(), local)}@{domain}"
 
+    def _card_at(self, text: str, m: re.Match, least: int = 3) -> tuple[int, int, str] | None:
+        """Start, end and pseudonym of the card in or right behind a match that may hold other numbers too.
+
+        In this order, up to `least`: 0 valid cards in usual groups; 1 the match itself; 2 other valid runs of groups;
+        3 account numbers.
+        """
+        low, high = CARD_DIGITS
+        groups = [g.span() for g in _DIGITS.finditer(text, m.start(), _CARD_RUN.match(text, m.start()).end())]
+        found = [(1, m.start(), -len(m[0]), m.end())]
+        passed = 0
+        for i, (a, _) in enumerate(groups):
+            if passed > high - low:
+                break
+            n, sizes = 0, ()
+            for c, b in groups[i:]:
+                n, sizes = n + b - c, (*sizes, b - c)
+                if n > high:
+                    break
+                if n < low or _LETTER.match(text, b):
+                    continue
+                digits = re.sub(r"\D", "", text[a:b])
+                usual = len(sizes) == 1 or sizes in CARD_GROUPS
+                if luhn_digit(digits[:-1]) == digits[-1]:
+                    found.append((0 if usual else 2, a, a - b, b))
+                elif usual and text[a - 1 : a] != "-" and not _HYPHEN.match(text, b):
+                    found.append((3, a, a - b, b))
+            passed += groups[i][1] - a
+        for rank, a, _, b in sorted(found):
+            if rank > least:
+                break
+            new = self.replace("card", text[a:b])
+            if new is not None:
+                return a, b, new
+        return None
+
+    def _valid_at(self, text: str, m: re.Match) -> tuple[int, int, str] | None:
+        """Start, end and pseudonym of the valid value at a match: the longest that ends at a token's edge."""
+        kind = m.lastgroup
+        if kind == "card":
+            return self._card_at(text, m)
+        new = self.replace(kind, m[0])
+        if new is not None:
+            return m.start(), m.end(), new
+        if kind in ("iban", "phone"):
+            edges = list(_EDGES.finditer(text, m.start(), m.end()))
+            if any((c := FIND.match(text, e.end())) and c.lastgroup == "card" and self._card_at(text, c, 0) for e in edges):
+                return None
+            for edge in reversed(edges):
+                part = FIND.match(text, m.start(), edge.start())
+                if part and part.lastgroup == kind and part.end() == edge.start() and (new := self.replace(kind, part[0])) is not None:
+                    return part.start(), part.end(), new
+        return None
+
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each value in the given text."""
         spans: list[tuple[str, int, int]] = []
-        parts, at = [], 0
-        for m in FIND.finditer(text):
-            kind = m.lastgroup
-            new = self.replace(kind, m[0])
-            if new is None:
+        parts, at, seek = [], 0, 0
+        while m := FIND.search(text, seek):
+            valid = self._valid_at(text, m)
+            if valid is None:
+                seek = m.start() + 1
                 continue
-            spans.append((kind, m.start(), m.end()))
-            parts += (text[at : m.start()], new)
-            at = m.end()
+            start, end, new = valid
+            spans.append((m.lastgroup, start, end))
+            parts += (text[at:start], new)
+            at = seek = end
         if not spans:
             return text, spans
         return "".join(parts) + text[at:], spans

@@ -73,3 +73,45 @@ def test_no_value_is_its_own_pseudonym():
     emails = [f"{a}{b}@x.example" for a in "abcdefghij" for b in range(10)]
     assert not set(zip(emails, emails, strict=True)) & {(e, OWN.replace("email", e)) for e in emails}
     assert len({OWN.replace("email", e) for e in emails}) == len(emails)
+
+
+CARD, ACCOUNT, IBAN = "4111 1111 1111 1111", "9807915762804491", "ES91 2100 0418 4502 0005 1332"
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "text"),
+    [
+        ("card", CARD, f"{CARD} 12/25"),
+        ("card", CARD, f"{CARD} 123 and more"),
+        ("card", CARD, f"no. 12 {CARD}"),
+        ("card", CARD, f"12 {CARD} 9"),
+        ("card", CARD, f"1234 {CARD} 1234"),
+        ("card", "4111-1111-1111-1111", "4111-1111-1111-1111 123"),
+        ("card", "4111111111111111", "12 4111111111111111"),
+        ("card", "4111111111111111", "4111111111111111-123"),
+        ("card", "4111111111111111", "7-4111111111111111"),
+        ("card", "3782 822463 10005", "3782 822463 10005 12/25"),
+        ("card", CARD, f"+1 {CARD}"),
+        ("card", ACCOUNT, f"{ACCOUNT} 13"),
+        ("iban", IBAN, f"{IBAN} BIC"),
+        ("iban", IBAN, f"{IBAN} 1234 EUR"),
+        ("iban", IBAN, f"AB12 {IBAN} BIC"),
+        ("iban", "GB82WEST12345698765432", "GB82WEST12345698765432 BIC"),
+        ("ssn", "078-05-1120", "1 078-05-1120 123"),
+        ("phone", "+44 20 7946 0958", "+44 20 7946 0958 2024 1234"),
+    ],
+)
+def test_numbers_beside_a_value(kind, value, text):
+    out, spans = OWN.apply(text)
+    new = OWN.replace(kind, value)
+    at = text.index(value)
+    if kind == "phone":  # what follows up to 15 digits can't be told from the number
+        assert len(spans) == 1 and spans[0][:2] == (kind, at) and value not in out
+    else:
+        assert (kind, at, at + len(value)) in spans and out == text.replace(value, new) and value not in out
+
+
+def test_number_tables_end():
+    text = "12 3 " * 20_000
+    out, spans = OWN.apply(text)
+    assert len(out) == len(text) and all(a < b <= c for (_, a, b), (_, c, _) in zip(spans, spans[1:], strict=False))
