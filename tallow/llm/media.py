@@ -1,7 +1,7 @@
 """Media columns: payloads stored as lossless WebP images and read back as pixel arrays.
 
 `store` writes each payload as grey 8-bit samples in rows of 64, one image per 256 rows, the images back to
-back in one binary column. `read_pixels` decodes any lossless WebP column to pixel arrays.
+back in one binary column. `read_pixels` decodes any lossless WebP column to pixel arrays, a row for each image.
 
 Edge cases: a null text counts as empty, which is one row of 64 zero bytes; a null media value gives null
 pixels; repeated rows each give a row; other columns are ignored; an empty table gives an empty result.
@@ -72,19 +72,25 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read_pixels(df: DataFrame, column: str = "media") -> DataFrame:
-    """The first image of each value: width, height, and pixels as ARGB integers row by row; null stays null."""
+    """Every image of each value: its index, width, height, and pixels as ARGB integers row by row.
+
+    A value without images, null or empty, is one row of nulls.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("image", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                own = batch.column("media")[i].as_py()
-                px = webp.decode(images_of(own)[0]) if own is not None else None
-                row = {"doc_id": batch.column("doc_id")[i].as_py(), "width": None, "height": None, "pixels": None}
-                if px is not None:
-                    row |= {"height": px.shape[0], "width": px.shape[1], "pixels": px.ravel().astype(np.int64).tolist()}
-                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.list_(pa.int64()))]))
-
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("media")).mapInArrow(run, "doc_id long, width int, height int, pixels array<long>")
+                doc_id, own = batch.column("doc_id")[i].as_py(), batch.column("media")[i].as_py()
+                if not own:
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id}], schema=schema)
+                    continue
+                for n, chunk in enumerate(images_of(own)):
+                    px = webp.decode(chunk)
+                    row = {"doc_id": doc_id, "image": n, "width": px.shape[1], "height": px.shape[0], "pixels": px.ravel().astype(np.int64).tolist()}
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("media")).mapInArrow(run, "doc_id long, image int, width int, height int, pixels array<long>")
 
 
 def feature_of(samples: np.ndarray) -> str:

@@ -170,3 +170,15 @@ def test_digests(spark):
     pixels = {r.doc_id: r for r in media.read_pixels(media.store(docs)).collect()}
     assert (pixels[2].width, pixels[2].height, pixels[2].pixels) == (64, 1, [0xFF616161] * 64)
     assert media.round_trip_digests(docs.limit(0)).count() == 0
+
+
+def test_pixels_of_every_image(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(2 * webp.TILE + 1000))
+    docs = spark.createDataFrame([(1, text), (2, "a" * webp.TILE), (3, "b" * (webp.TILE + 1)), (4, "")], "doc_id long, text string")
+    stored = media.store(docs).select("doc_id", "media").union(spark.createDataFrame([(5, None), (6, bytearray())], "doc_id long, media binary"))
+    rows = sorted(media.read_pixels(stored).collect(), key=lambda r: (r.doc_id, r.image or 0))
+    assert [(r.doc_id, r.image, r.width, r.height) for r in rows] == [(1, 0, 64, 256), (1, 1, 64, 256), (1, 2, 64, 16), (2, 0, 64, 256), (3, 0, 64, 256), (3, 1, 64, 1), (4, 0, 64, 1), (5, None, None, None), (6, None, None, None)]
+    for i, t in ((1, text), (3, "b" * (webp.TILE + 1))):
+        samples = bytes(p & 255 for r in rows if r.doc_id == i for p in r.pixels)
+        assert samples == media.payload_of(t.encode()) and len(samples) > webp.TILE
+    assert rows[-1].pixels is None and rows[-2].pixels is None
