@@ -46,7 +46,7 @@ _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _ENDS = frozenset(".!?")
-_tokenizers: dict[str, Tokenizer] = {}
+_tokenizers: dict[tuple[str, bool], Tokenizer] = {}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -62,12 +62,21 @@ class Tokenizer:
 
     The vocabulary's normaliser and splitter never join characters over ASCII white space, and drop it, so a
     text's ids are those of its chunks in order.
+
+    With `special`, the names of special tokens in a text are those tokens, as the vocabulary's own tokenizer takes
+    them; else they are text like any other. They are found as written, before the normaliser, so a chunk that holds
+    one goes whole to that tokenizer, and is cached with a blank before it, apart from a chunk put in lower case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer as Own
 
         self.own = Own.from_file(path)
+        self.plain = Own.from_file(path) if special else None
+        added = self.own.get_added_tokens_decoder().values() if special else ()
+        if any(t.normalized or t.single_word or not _CHUNKS.fullmatch(t.content) for t in added):
+            raise ValueError("added tokens with white space, of single words or of normalised text aren't supported")
+        self.names = [t.content for t in added]
         self.own.encode_special_tokens = True
         mark = self.own.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -78,14 +87,20 @@ class Tokenizer:
             self.ends[i] = token.removesuffix("</w>")[-1:] in _ENDS and token.endswith("</w>")
 
     @classmethod
-    def get(cls, path: str) -> Tokenizer:
-        if path not in _tokenizers:
-            _tokenizers[path] = cls(path)
-        return _tokenizers[path]
+    def get(cls, path: str, special: bool = False) -> Tokenizer:
+        if (path, special) not in _tokenizers:
+            _tokenizers[path, special] = cls(path, special)
+        return _tokenizers[path, special]
 
     def ids(self, text: str) -> list[int]:
         return self.own.encode(text, add_special_tokens=False).ids
 
+    def chunks_of(self, text: str) -> list[str]:
+        """Chunks as keys of the cache."""
+        if not any(n in text for n in self.names):
+            return chunks_of(text)
+        return [f" {c}" if any(n in c for n in self.names) else c for c in _CHUNKS.findall(text)]
+
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of chunks that aren't cached into the cache.
 
@@ -100,6 +115,9 @@ class Tokenizer:
                 self.cache = cache = {c: cache[c] for c in chunks & cache.keys()}
         merges, others, words = self.own.model.tokenize, [], []
         for c in chunks.difference(cache):
+            if c[0] == " ":
+                cache[c] = _packed(self.plain.encode(c[1:], add_special_tokens=False).ids)
+                continue
             word = c[:-1] if c[-1] in ".," else c
             if (word.isascii() and word.isalpha()) or _WORD(word):
                 words.append((c, word))
@@ -142,7 +160,7 @@ def chunks_of(text: str) -> list[str]:
 
 def tokens_of(texts: list[str | None], tokenizer: Tokenizer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per text: ids with the closing id, and ascending ends (in tokens) of its sentences."""
-    split = [chunks_of(t or "") for t in texts]
+    split = [tokenizer.chunks_of(t or "") for t in texts]
     tokenizer.learn(set().union(*split))
     get, close = tokenizer.cache.__getitem__, np.array([CLOSING_ID], "<u4").tobytes()
     for chunks in split:
@@ -249,16 +267,17 @@ class Packer:
         yield from self.settle([*cuts[:-1], *(last + np.cumsum(sizes)).tolist()])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, stride: int = STRIDE, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, stride: int = STRIDE, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False, special: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence (SCHEMA); with_ids adds ids (array<long>).
 
+    With `special`, names of special tokens in a text count as those tokens, as the library has it by default.
     Sequences never leave their partition, so order holds inside it and nothing is shuffled.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
 
     def run(batches):
         context = TaskContext.get()
-        tokenizer = Tokenizer.get(tokenizer_path)
+        tokenizer = Tokenizer.get(tokenizer_path, special)
         packer = Packer(length, stride, block_tokens, (context.partitionId() if context else 0) << 40, with_ids)
         rows: list[tuple] = []
 

@@ -20,7 +20,7 @@ def _vocabulary(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallow.llm import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), special=True)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,25 @@ def test_cuts_are_the_cheapest(steps, length):
 @pytest.mark.parametrize("left", [1, 3, 700, 1024, 2047, 2048])
 def test_tail(left):
     assert sum(packing.tail_sizes(left, 2048)) == left
+
+
+def test_queries_take_special_tokens_as_the_library(spark, tmp_path):
+    import corpus_pipeline
+    from tallow.llm import registry
+
+    t = Tokenizer.from_file(PATH)
+    texts = [
+        "hello <|endoftext|> you", "a<|endoftext|>b, C<|startoftext|><|endoftext|>.", "<|ENDOFTEXT|> is <|EndOfText|>", "<|endoftext|> and <|ENDOFTEXT|> Word. word.",
+        "naïve ÀÉ<|startoftext|>É x\x00<|endoftext|>y", "a\x1cb<|endoftext|>\x1fz", "no <|endoftext| > here", "<|endoftext|>", None, "plain words only.",
+    ]
+    want = {i: t.encode(text or "", add_special_tokens=False).ids + [1] for i, text in enumerate(texts)}
+    assert want[0] == [3306, 49407, 592, 1] and 49407 not in want[2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (registry.op1_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        rows = got.collect()
+        assert {r.doc_id for r in rows} == set(want)
+        for r in rows:
+            ids = want[r.doc_id]
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    assert {r.doc_id: r.ids for r in packing.pack(docs, PATH, with_ids=True, special=True).collect() if r.length == r.doc_tokens}.items() <= want.items()
