@@ -48,6 +48,29 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a `cut` that nothing reads any more."""
+    for name in df.inputFiles()[:1]:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if folder.getName().startswith("tallow-"):
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Keys that hold more than this share of all rows are few by arithmetic, and may be broadcast.
+HEAVY = 512
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows whose key is among keys (key, n: rows with that key), where a key may have a large share of all `total` rows.
+
+    Less than HEAVY keys have more than 1 / HEAVY of the rows. These are broadcast, and their rows stay where they are;
+    of the others no key has enough rows to fill a task.
+    """
+    heavy = F.broadcast(keys.where(F.col("n") * HEAVY > total).select(key))
+    light = rows.join(heavy, key, "left_anti").join(keys.where(F.col("n") * HEAVY <= total).select(key), key, "left_semi")
+    return rows.join(heavy, key, "left_semi").select(*rows.columns).unionByName(light.select(*rows.columns))
+
+
 def row_key(*cols: str | Column) -> Column:
     """128-bit key of a row's values; equal rows share it, and null differs from every value."""
     texts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string") if isinstance(c, str) else c.cast("string")), F.lit("-")) for c in cols]

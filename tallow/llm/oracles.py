@@ -65,3 +65,25 @@ SELECT doc_id, CASE WHEN n_dropped IS NULL THEN d.text ELSE coalesce(kept, '') E
   coalesce(n_dropped, 0)::INTEGER AS n_dropped
 FROM documents d LEFT JOIN n ON n.text = d.text LEFT JOIN left_over o ON o.text = d.text
 """
+
+REPEATS = """
+WITH whole AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+t AS (SELECT row_number() OVER () AS k, text, lower(hex(encode(text))) AS x, octet_length(encode(text)) AS n FROM whole),
+copies AS (SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text),
+piece AS (SELECT k, n, c, substr(x, 2 * c + 1, 2 * (100 + 199)) AS y FROM (SELECT k, x, n, unnest(range(0, n - 199, 100)) AS c FROM t WHERE n >= 200)),
+w AS (SELECT k, c + j AS i, md5_number(substr(y, 2 * j + 1, 400)) AS h FROM (SELECT k, c, y, unnest(range(0, least(100, n - 199 - c))) AS j FROM piece)),
+h AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (
+  SELECT k, i AS a, i + 200 AS b FROM w SEMI JOIN h USING (h)
+  UNION ALL SELECT k, 0, t.n FROM t JOIN copies c USING (text) WHERE c.n > 1 AND t.n >= 200
+), o AS (SELECT k, a, b, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+g AS (SELECT k, a, b, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM o),
+r AS (SELECT k, g, min(a) AS a, max(b) AS b FROM g GROUP BY k, g),
+part AS (
+  SELECT k, a, substr(x, 2 * coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0))) AS p FROM r JOIN t USING (k)
+  UNION ALL SELECT k, n, substr(x, 2 * coalesce(stop, 0) + 1) FROM t LEFT JOIN (SELECT k, max(b) AS stop FROM r GROUP BY k) USING (k)
+), kept AS (SELECT k, sha256(unhex(string_agg(p, '' ORDER BY a))) AS sha FROM part GROUP BY k),
+n AS (SELECT k, sum(b - a)::BIGINT AS gone, count(*) AS n_spans FROM r GROUP BY k)
+SELECT doc_id, t.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha AS kept_sha256
+FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN kept USING (k) LEFT JOIN n USING (k)
+"""

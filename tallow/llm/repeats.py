@@ -11,7 +11,8 @@ the anchor shows how far each one's left extension agrees with another's, that i
 diverse. Both together give each occurrence its repeated starts, with all other members, not just neighbours.
 
 Anchors that occur once are left out early by a filter of fixed size, which may let some through but loses none. An
-anchor with more than GROUP occurrences is not gathered in a task: its strings are counted one by one by hash.
+anchor with more than GROUP occurrences is not gathered in a task: its strings are counted one by one by hash, which
+is another method that gives the same result. `repeat_groups` gives the tree's own output, groups of occurrences.
 Equal texts of at least `length` bytes are removed whole, and stand in the suffixes once.
 
 Edge cases: a null text counts as empty; texts shorter than `length` lose nothing; repeated rows are equal texts;
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import cut, text_bytes, text_slices
+from tallow.llm.common import cut, semi_join, text_bytes, text_slices
 from tallow.llm.shingles import mix
 
 LENGTH, SEED = 200, 32
@@ -40,6 +41,8 @@ PART_BYTES = 1 << 16
 SEEN_TEXTS = 1 << 20
 #: Text bytes whose anchors are sought at a time; that takes about a hundred bytes of memory each.
 SLICE = 1 << 21
+#: Low bits of an anchor's hash that give way to its position; more than SLICE and a string need.
+PLACE_BITS = 22
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 SPANS = "text_key binary, start long, stop long"
@@ -63,8 +66,14 @@ def seed_hashes(raw: np.ndarray, seed: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Per anchor: text, hash, position, and the first and last start of the strings it stands for (positions in raw)."""
+    """Per anchor: text, hash, position, and the first and last start of the strings it stands for (positions in raw).
+
+    Hashes are ordered by their upper 64 - PLACE_BITS bits and then by position. How many bits count never depends on
+    the bytes around a string, so neither does its anchor.
+    """
     n, w = len(raw), length - seed + 1
+    if n >> PLACE_BITS:
+        raise ValueError(f"more than {1 << PLACE_BITS} bytes at a time")
     sizes = np.diff(offsets)
     counts = np.maximum(0, sizes - length + 1)
     total = int(counts.sum())
@@ -72,12 +81,10 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tup
         e = np.zeros(0, np.int64)
         return e, np.zeros(0, np.uint64), e, e, e
     h = seed_hashes(raw, seed)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    v = (h & ~low) | np.arange(n, dtype=np.uint64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     rows = -(-n // w)
     padded = np.full(rows * w + w, ~np.uint64(0), dtype=np.uint64)
-    padded[:n] = v
+    padded[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
     grid = padded.reshape(rows + 1, w)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -89,6 +96,26 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tup
     return text[new], h[at[new]], at[new], start[new], start[last]
 
 
+def pieces(batches, length: int, size: int, seen: set[bytes]):
+    """Texts that the task hasn't met, laid end to end: bytes, offsets, keys, and each one's start in its text.
+
+    A text longer than `size` comes in pieces that overlap by length - 1 bytes, so that each string starts in one of
+    them; memory is bounded by `size`, whatever a text's length. An anchor whose starts fall into two pieces is then
+    met in both, each with its own starts.
+    """
+    for batch in text_slices(batches, size=size):
+        own, keys = _texts(batch, seen)
+        if not keys:
+            continue
+        raw, offs = text_bytes(own.column("text"))
+        if len(keys) > 1 or len(raw) <= size + length:
+            yield raw, offs, keys, np.zeros(len(keys), np.int64)
+            continue
+        for a in range(0, len(raw) - length + 1, size):
+            part = raw[a : a + size + length - 1]
+            yield part, np.array([0, len(part)]), keys, np.array([a])
+
+
 def _texts(batch: pa.RecordBatch, seen: set[bytes]) -> tuple[pa.RecordBatch, list[bytes]]:
     """The batch's rows with texts that the task hasn't met, and their keys."""
     keep, keys = [], []
@@ -107,14 +134,10 @@ def _counted(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in text_slices(batches, size=SLICE):
-            own, keys = _texts(batch, seen)
-            if not keys:
-                continue
-            raw, offs = text_bytes(own.column("text"))
+        for raw, offs, keys, begin in pieces(batches, length, SLICE, seen):
             text, h, at, _, _ = anchors(raw, offs, length, seed)
             base = np.array([int.from_bytes(k[:8], "little") for k in keys], dtype=np.uint64)
-            place = mix(base[text] + (at - offs[text]).astype(np.uint64) * _K[0])
+            place = mix(base[text] + (at - offs[text] + begin[text]).astype(np.uint64) * _K[0])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64))], ["h", "place"])
 
     rows = texts.mapInArrow(run, "h long, place long")
@@ -176,10 +199,10 @@ _NAMES = [c.split()[0] for c in _SUFFIXES.split(", ")]
 SUFFIX, FOUND, STRING = 0, 1, 2
 
 
-def _suffixes(texts: DataFrame, repeated: Filter, hot: Filter | None, length: int, seed: int) -> DataFrame:
+def _suffixes(texts: DataFrame, repeated: Filter, hot: Filter | None, length: int, seed: int, merge: bool = True) -> DataFrame:
     """One row per repeated anchor: the bytes from it on, and those before it from right to left.
 
-    kind FOUND: starts low..high at the anchor are known to be repeated; kind STRING: one string of a hot anchor.
+    kind FOUND (with merge): starts low..high at the anchor are known to be repeated; kind STRING: one string of a hot anchor.
     """
     context = texts.sparkSession.sparkContext
     wanted = context.broadcast((repeated.bits, repeated.data.tobytes()))  # of bounded size, both
@@ -189,17 +212,13 @@ def _suffixes(texts: DataFrame, repeated: Filter, hot: Filter | None, length: in
         keep = Filter(wanted.value[0], np.frombuffer(wanted.value[1], np.uint8))
         often = Filter(frequent.value[0], np.frombuffer(frequent.value[1], np.uint8)) if frequent is not None else None
         seen: set[bytes] = set()
-        for batch in text_slices(batches, size=SLICE):
-            own, keys = _texts(batch, seen)
-            if not keys:
-                continue
-            raw, offs = text_bytes(own.column("text"))
+        for raw, offs, keys, begin in pieces(batches, length, SLICE, seen):
             text, h, at, first, last = anchors(raw, offs, length, seed)
             some = keep.has(h)
             text, h, at, first, last = text[some], h[some], at[some], first[some], last[some]
             whole, turned, n = raw.tobytes(), raw[::-1].tobytes(), len(raw)
             rows: tuple[list, ...] = tuple([] for _ in _NAMES)
-            base = offs[text]
+            base = offs[text] - begin[text]
             hot_here = often.has(h) if often is not None else np.zeros(len(h), dtype=bool)
             _, code, times = np.unique(h, return_inverse=True, return_counts=True)
             again = (times[code] > 1).tolist()
@@ -212,7 +231,7 @@ def _suffixes(texts: DataFrame, repeated: Filter, hot: Filter | None, length: in
                             column.append(v)
                     continue
                 row = (s, SUFFIX, keys[t], p - o, a - p, b - p, whole[p : b + length], turned[n - p : n - a])
-                if twice:
+                if twice and merge:
                     equal = (s, whole[a : b + length])
                     before = known.get(equal)
                     if before is not None and before[5] == b - p:
@@ -345,31 +364,45 @@ def _solve_rows(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows.column("text_key").take(pa.array(index)), pa.array(at + a), pa.array(at + b + length)], ["text_key", "start", "stop"])
 
 
+def _whole_anchors(batches):
+    """Batches that hold whole groups of equal h, from batches in order of h."""
+    held: list[pa.RecordBatch] = []  # rows of a group that may go on
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        h = rows.column("h").to_numpy()
+        if held and held[-1].column("h")[0].as_py() != h[0]:
+            yield _joined(held)
+            held = []
+        cuts = np.flatnonzero(h[1:] != h[:-1])
+        if not len(cuts):
+            held.append(rows)
+            continue
+        end = int(cuts[-1]) + 1
+        yield _joined([*held, rows.slice(0, end)])
+        held = [rows.slice(end)]
+    if held:
+        yield _joined(held)
+
+
 def _spans(suffixes: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        held: list[pa.RecordBatch] = []  # rows of a group that may go on
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            found = batch.filter(pa.array(kind == FOUND))
-            if found.num_rows:
-                at = found.column("at").to_numpy()
-                yield pa.RecordBatch.from_arrays([found.column("text_key"), pa.array(at + found.column("low").to_numpy()), pa.array(at + found.column("high").to_numpy() + length)], ["text_key", "start", "stop"])
-            rows = batch.filter(pa.array(kind == SUFFIX))
-            if not rows.num_rows:
-                continue
-            h = rows.column("h").to_numpy()
-            if held and held[-1].column("h")[0].as_py() != h[0]:
-                yield _solve_rows(_joined(held), length)
-                held = []
-            cuts = np.flatnonzero(h[1:] != h[:-1])
-            if not len(cuts):
-                held.append(rows)
-                continue
-            end = int(cuts[-1]) + 1
-            yield _solve_rows(_joined([*held, rows.slice(0, end)]), length)
-            held = [rows.slice(end)]
-        if held:
-            yield _solve_rows(_joined(held), length)
+        known: list[pa.RecordBatch] = []
+
+        def unknown():
+            for batch in batches:
+                kind = batch.column("kind").to_numpy()
+                found = batch.filter(pa.array(kind == FOUND))
+                if found.num_rows:
+                    at = found.column("at").to_numpy()
+                    known.append(pa.RecordBatch.from_arrays([found.column("text_key"), pa.array(at + found.column("low").to_numpy()), pa.array(at + found.column("high").to_numpy() + length)], ["text_key", "start", "stop"]))
+                yield batch.filter(pa.array(kind == SUFFIX))
+
+        for own in _whole_anchors(unknown()):
+            yield _solve_rows(own, length)
+            yield from known
+            known.clear()
+        yield from known
 
     return suffixes.repartition("h").sortWithinPartitions("kind", "h", "ahead", "back").mapInArrow(run, SPANS)
 
@@ -404,24 +437,101 @@ def _merged(spans: DataFrame) -> DataFrame:
     return spans.repartition("text_key").sortWithinPartitions("text_key", "start").mapInArrow(run, "text_key binary, spans binary")
 
 
+def _long_texts(docs: DataFrame, length: int) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text")).where(F.expr(f"octet_length(text) >= {length}")).withColumn("text_key", _key())
+
+
+def _anchors_of(texts: DataFrame, length: int, seed: int, group: int) -> tuple[DataFrame, Filter, Filter | None]:
+    """Repeated anchors, the filter that holds them, and that of the hot ones if there are any."""
+    counted = cut(_counted(texts, length, seed), "anchors")
+    n = counted.agg(F.count("*").alias("n"), F.count_if(F.col("n") > group).alias("hot")).first()
+    return counted, _filter_of(counted, n.n), _filter_of(counted.where(F.col("n") > group), n.hot) if n.hot else None
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """text_key (MD5 of the text) and spans (pairs of 64-bit start and stop, in bytes) of texts with repeats."""
     if not 8 <= seed <= length:
         raise ValueError("seed must be from 8 to length")
-    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.expr(f"octet_length(text) >= {length}")).withColumn("text_key", _key())
-    counted = cut(_counted(texts, length, seed), "anchors")
-    n = counted.agg(F.count("*").alias("n"), F.count_if(F.col("n") > group).alias("hot")).first()
-    often = counted.where(F.col("n") > group)
-    rows = _suffixes(texts, _filter_of(counted, n.n), _filter_of(often, n.hot) if n.hot else None, length, seed)
+    texts = _long_texts(docs, length)
+    _, repeated, hot = _anchors_of(texts, length, seed, group)
+    rows = _suffixes(texts, repeated, hot, length, seed)
     spans = _spans(rows.where(F.col("kind") != STRING), length)
-    if n.hot:
-        strings = cut(rows.where(F.col("kind") == STRING).select(F.col("ahead").alias("string"), "text_key", "at").distinct(), "strings")
-        many = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-        spans = spans.unionByName(strings.join(many, "string", "left_semi").select("text_key", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
+    if hot is not None:
+        strings, many = _hot_strings(rows)
+        spans = spans.unionByName(semi_join(strings, many, "string", strings.count()).select("text_key", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
     copies = texts.select("text_key", F.expr("cast(octet_length(text) as bigint)").alias("stop")).groupBy("text_key", "stop").agg(F.count("*").alias("n")).where("n > 1")
     return _merged(spans.unionByName(copies.select("text_key", F.lit(0).cast("long").alias("start"), "stop")))
 
 
+def _hot_strings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places of the strings of hot anchors (string: 128 bits, text_key, at), and the strings in two places or more with n."""
+    strings = cut(rows.where(F.col("kind") == STRING).select(F.col("ahead").alias("string"), "text_key", "at").distinct(), "strings")
+    return strings, cut(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "many")
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """repeat (binary), size, text_key, doc_id and start of every occurrence of every maximal repeat group.
+
+    A group is one string of at least `length` bytes with all the places where it stands; a longer string stands in
+    fewer of them, both to its right (its interval has no other members) and to its left (their left extensions
+    differ). Groups reach as far as the strings of one anchor do, so a very long repeat comes as several that
+    overlap; strings of hot anchors come `length` bytes long. Equal texts stand for one place, with the smallest
+    doc_id; copies are in text_key.
+    """
+    texts = _long_texts(docs, length)
+    _, repeated, hot = _anchors_of(texts, length, seed, group)
+    rows = _suffixes(texts, repeated, hot, length, seed, merge=False)
+
+    def run(batches):
+        for own in _whole_anchors(batches):
+            yield from _groups_of(own, length)
+
+    schema = "repeat binary, size long, text_key binary, start long"
+    found = rows.where(F.col("kind") == SUFFIX).repartition("h").sortWithinPartitions("h", "ahead", "back").mapInArrow(run, schema)
+    if hot is not None:
+        strings, many = _hot_strings(rows)
+        found = found.unionByName(semi_join(strings, many, "string", strings.count()).select(F.col("string").alias("repeat"), F.lit(length).cast("long").alias("size"), "text_key", F.col("at").alias("start")))
+    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.expr(f"octet_length(text) >= {length}")).groupBy(_key().alias("text_key")).agg(F.min("doc_id").alias("doc_id"))
+    return found.distinct().join(names, "text_key").select("repeat", "size", "text_key", "doc_id", "start")
+
+
+def _groups_of(rows: pa.RecordBatch, length: int):
+    """Maximal repeat groups of whole anchors' suffixes, sorted by (h, ahead, back)."""
+    h, at, keys = rows.column("h").to_numpy(), rows.column("at").to_numpy(), rows.column("text_key").to_pylist()
+    ahead, ahead_sizes = padded(rows.column("ahead"))
+    back, back_sizes = padded(rows.column("back"))
+    cuts = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+    out: tuple[list, ...] = ([], [], [], [])
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        common = neighbours(ahead[i:j], ahead_sizes[i:j])
+        for size, first, last in intervals(common.tolist()):
+            members = np.arange(i + first, i + last + 1)
+            order = np.lexsort((back_sizes[members], *back[members].T[::-1]))
+            left = neighbours(back[members][order], back_sizes[members][order])
+            both = list(intervals(left.tolist()))
+            if not any(n == 0 or (a == 0 and b == len(members) - 1) for n, a, b in both):
+                both.append((0, 0, len(members) - 1))  # all of them, with nothing in common to the left
+            for more, a, b in both:
+                if more + size < length:
+                    continue
+                own = np.sort(members[order[a : b + 1]])
+                if int(common[own[0] - i + 1 : own[-1] - i + 1].min()) > size:
+                    continue  # a longer string has the same members
+                p = own[0]
+                name = hashlib.blake2b(back[p, :more][::-1].tobytes() + ahead[p, :size].tobytes(), digest_size=16).digest()
+                for m in own.tolist():
+                    for column, v in zip(out, (name, size + more, keys[m], int(at[m]) - more), strict=True):
+                        column.append(v)
+        if len(out[0]) > 1 << 16:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _GROUP_TYPES, strict=True)], _GROUP_NAMES)
+            out = ([], [], [], [])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _GROUP_TYPES, strict=True)], _GROUP_NAMES)
+
+
+_GROUP_NAMES = ["repeat", "size", "text_key", "start"]
+_GROUP_TYPES = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
+
+
 def _key():
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
@@ -430,24 +540,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, grou
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds the kept bytes as `kept` (binary)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(own, length, seed, group)
-    # a text's spans are one small row; hashing them spares a sort of the texts
-    both = own.withColumn("text_key", _key()).join(spans.hint("shuffle_hash"), "text_key", "left").select("doc_id", "text", "spans")
+    # a text's spans are one small row; hashing them spares a sort of the texts. Short texts have none: their keys spread them
+    both = own.withColumn("text_key", F.when(F.expr(f"octet_length(text) >= {length}"), _key()).otherwise(F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))))).join(spans.hint("shuffle_hash"), "text_key", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches):
         for batch in text_slices(batches):
             raw, offs = text_bytes(batch.column("text"))
-            whole = raw.tobytes()
             rows = []
             for a, b, s in zip(offs[:-1].tolist(), offs[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
                 runs = np.frombuffer(s, "<i8").reshape(-1, 2).tolist() if s else []
                 parts, at = [], a
                 for x, y in runs:
-                    parts.append(whole[at : a + x])
+                    parts.append(raw[at : a + x])
                     at = a + y
-                parts.append(whole[at:b])
-                kept = b"".join(parts)
-                rows.append((b - a, b - a - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                parts.append(raw[at:b])
+                digest = hashlib.sha256()
+                for part in parts:
+                    digest.update(part)
+                rows.append((b - a, sum(y - x for x, y in runs), len(runs), digest.hexdigest(), b"".join(parts) if with_text else None))
             n_bytes, gone, n_spans, sha, kept = zip(*rows, strict=True)
             columns = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if with_text else []), names)
