@@ -12,8 +12,12 @@ region's edge are also put into its neighbour. Three kinds of pivots are used, c
 * documents. What hangs together within a band is a region; a region is cut into Voronoi cells of pivot
   documents, a document going to its nearest pivot's cell and to each cell whose pivot is at most twice the link
   distance farther, and those beyond `FAR` of all pivots to an outer cell, with those less than the link
-  distance inside of it. Cells are cut again until they are small or stop shrinking, then joined in full.
-  Regions too large for one task take this step across the cluster, and blocks of what won't shrink are paired.
+  distance inside of it. What lies within the link distance of a pivot is linked to it, and needs no comparing
+  among itself: a cell that hangs together by such links is done, so a family of n near copies costs about n.
+  Cells are cut again, with an index of their own, until they are small or stop shrinking; what is then left
+  unjoined is compared. A set with too few shingles that others of its cell have too can't link there and goes.
+  Regions too large for one task take this step across the cluster. Of one that won't shrink, the sets that don't
+  hang with its largest ball are paired, in blocks, with each other and with the ball.
 
 Equal sets are one class throughout. Links between classes make the components.
 
@@ -42,10 +46,12 @@ SKETCH_PART = 1024
 SEEN_KEYS = 1 << 20
 FAR = 0.7
 #: Documents that are joined in full without further cells.
-LEAF = 192
+LEAF = 8
 #: Shingles of a region that one task may hold; beyond, cells are cut across the cluster.
 REGION_SHINGLES = 6_000_000
 PIVOTS = 12
+#: Pivots of a cell within a task: one for so many documents, this many at most.
+PIVOT_EVERY, MOST_PIVOTS = 16, 64
 #: A cell with more than this share of its region's documents is not cut again, and no cell this often.
 STUCK, MAX_DEPTH = 0.4, 12
 EDGES = "u binary, v binary"
@@ -207,34 +213,49 @@ def _candidates(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 class Region:
-    """Distinct sets with an inverted index over the shingles that at least two of them have."""
+    """Distinct sets with an inverted index over the shingles that at least two of them have.
 
-    def __init__(self, keys: list[bytes], sets: list[np.ndarray]):
-        self.keys, self.sizes = keys, np.array([len(s) for s in sets], dtype=np.int64)
+    `at` numbers the sets within the outermost region. With a rule, sets with too few shared shingles for any link are
+    left out. `scans` counts the index scans that joining the region took.
+    """
+
+    def __init__(self, keys: list[bytes], sets: list[np.ndarray], rule: Rule | None = None):
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.keys, self.scans = keys, 0
+        self._index(rule, np.arange(len(sets)), sizes, np.repeat(np.arange(len(sets)), sizes), flat)
+
+    def _index(self, rule: Rule | None, at: np.ndarray, sizes: np.ndarray, owner: np.ndarray, code: np.ndarray) -> None:
+        _, code, count = np.unique(code, return_inverse=True, return_counts=True)
         many = count[code] > 1
-        code, owner = code[many], owner[many]
-        order = np.argsort(code, kind="stable")
+        enough = np.bincount(owner[many], minlength=len(at)) * 100 >= (rule.percent if rule else 0) * sizes
+        enough &= sizes > 0
+        many &= enough[owner]
+        place = np.cumsum(enough) - 1
+        self.rule, self.at, self.sizes = rule, at[enough], sizes[enough]
+        self.code, owner = code[many], place[owner[many]]
+        order = np.argsort(self.code, kind="stable")
         self.post = owner[order]
-        self.begin = np.searchsorted(code[order], np.arange(len(count) + 1))
-        self.code = code
-        self.first = np.searchsorted(owner, np.arange(len(sets) + 1))
-
-    def common(self, i: int, among: np.ndarray | None = None) -> np.ndarray:
-        """Sizes of i's intersections with all sets."""
+        self.begin = np.searchsorted(self.code[order], np.arange(len(count) + 1))
+        self.owner, self.first = owner, np.searchsorted(owner, np.arange(len(self.at) + 1))
+
+    def cell(self, members: np.ndarray) -> Region:
+        """The region of some of the sets, with an index of its own."""
+        place = np.full(len(self.at), -1)
+        place[members] = np.arange(len(members))
+        own = place[self.owner]
+        inside = own >= 0
+        out = Region.__new__(Region)
+        out._index(self.rule, self.at[members], self.sizes[members], own[inside], self.code[inside])
+        return out
+
+    def common(self, i: int) -> np.ndarray:
+        """Sizes of i's intersections with all other sets."""
         own = self.code[self.first[i] : self.first[i + 1]]
-        if not len(own):
-            return np.zeros(len(self.sizes), dtype=np.int64)
         a, n = self.begin[own], self.begin[own + 1] - self.begin[own]
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
         return np.bincount(self.post[at], minlength=len(self.sizes))
 
-    def distances(self, i: int) -> np.ndarray:
-        c = self.common(i)
-        return 1 - c / (self.sizes + self.sizes[i] - c)
-
 
 class Union:
     def __init__(self, n: int):
@@ -266,37 +287,68 @@ def voronoi(distances: np.ndarray, link: float) -> list[np.ndarray]:
     return [*cells, np.flatnonzero(nearest > FAR - link - slack)]
 
 
-def join_region(region: Region, rule: Rule, leaf: int = LEAF, pivots: int = PIVOTS) -> list[tuple[int, int]]:
-    """Edges that connect what links connect, by cells within cells."""
-    union, edges = Union(len(region.keys)), []
-
-    def full(members: np.ndarray) -> None:
-        inside = np.zeros(len(region.keys), dtype=bool)
-        inside[members] = True
-        for i in members.tolist():
-            inside[i] = False
-            c = region.common(i)
-            near = np.flatnonzero(inside & rule.links(c, region.sizes, region.sizes[i]) & (c > 0))
-            for j in near.tolist():
-                if union.join(i, j):
-                    edges.append((i, j))
-
-    stack = [np.arange(len(region.keys))]
+class Joined:
+    """Edges found so far in a region, and a label for every set: equal ones hang together."""
+
+    def __init__(self, rule: Rule, label: np.ndarray):
+        self.rule, self.label = rule, label
+        self.edges: list[tuple[int, int]] = []
+        self.scans = 0
+
+    def single(self, region: Region) -> bool:
+        own = self.label[region.at]
+        return len(own) < 2 or bool((own == own[0]).all())
+
+    def scan(self, region: Region, i: int) -> np.ndarray:
+        """Distances of set i to all; what links with it gets its label."""
+        self.scans += 1
+        common = region.common(i)
+        size = region.sizes[i]
+        near = np.flatnonzero((common > 0) & self.rule.links(common, region.sizes, size))
+        own = region.at[near]
+        mine = int(region.at[i])
+        found, where = np.unique(self.label[own], return_index=True)
+        other = found != self.label[mine]
+        if other.any():
+            self.edges += [(mine, j) for j in own[where[other]].tolist()]
+            self.label[np.isin(self.label, found[other])] = self.label[mine]
+        d = 1 - common / (region.sizes + size - common)
+        d[i] = 0
+        return d
+
+
+def join_region(region: Region, rule: Rule, leaf: int = LEAF, pivots: int = PIVOTS, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what links connect, by cells within cells; label: sets known to hang together."""
+    done = Joined(rule, np.arange(int(region.at.max(initial=-1)) + 1) if label is None else label)
+    stack = [region]
     while stack:
-        members = stack.pop()
-        if len(members) < 2:
-            continue
-        if len(members) <= leaf:
-            full(members)
+        cell = stack.pop()
+        n = len(cell.at)
+        if done.single(cell):
             continue
-        chosen = members[np.linspace(0, len(members) - 1, pivots + 1).astype(int)[:-1]]
-        d = np.stack([region.distances(i)[members] for i in chosen.tolist()])
-        cells = [members[c] for c in voronoi(d, rule.far)]
-        if max(map(len, cells)) > 0.9 * len(members) or sum(map(len, cells)) > 3 * len(members):
-            full(members)
-        else:
-            stack += cells
-    return edges
+        if n > leaf:
+            d, nearest, labels = [], np.ones(n), []
+            for _ in range(min(MOST_PIVOTS, max(pivots, n // PIVOT_EVERY))):
+                # the farthest from all pivots among what hangs with none of them
+                free = ~np.isin(done.label[cell.at], labels)
+                if not free.any():
+                    break
+                i = int(np.argmax(np.where(free, nearest, -1))) if d else n // 2
+                d.append(done.scan(cell, i))
+                nearest = np.minimum(nearest, d[-1])
+                labels = np.unique([*(done.label[j] for j in labels), done.label[cell.at[i]]]).tolist()
+            if done.single(cell):
+                continue
+            cells = voronoi(np.stack(d), rule.far)
+            if max(map(len, cells)) <= 0.9 * n and sum(map(len, cells)) <= 3 * n:
+                stack += [cell.cell(c) for c in cells if len(c) > 1]
+                continue
+        for i in range(n):
+            if done.single(cell):
+                break
+            done.scan(cell, i)
+    region.scans = done.scans
+    return done.edges
 
 
 def _stream_groups(batches, column: str):
@@ -318,39 +370,74 @@ def _stream_groups(batches, column: str):
 def _join_task(rule: Rule):
     def run(batches):
         for _, rows in _stream_groups(batches, "region"):
-            own = {r["k"]: np.frombuffer(r["own"], "<u8") for r in rows}
+            own = {r["k"]: (np.frombuffer(r["own"], "<u8"), r["label"]) for r in rows}
             keys = sorted(own)
             if len(keys) < 2:
                 continue
-            edges = join_region(Region(keys, [own[k] for k in keys]), rule)
+            names: dict[bytes, int] = {}
+            label = np.array([i if own[k][1] is None else names.setdefault(own[k][1], i) for i, k in enumerate(keys)])
+            edges = join_region(Region(keys, [own[k][0] for k in keys], rule), rule, label=label)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in edges], pa.binary()), pa.array([keys[j] for _, j in edges], pa.binary())], ["u", "v"])
 
     return run
 
 
+class Pivots:
+    """Pivots of a large region: distances of sets to all of them, and which of them hang together."""
+
+    def __init__(self, rule: Rule, keys: list[bytes], sets: list[np.ndarray]):
+        self.rule, self.keys, self.sizes = rule, keys, np.array([len(s) for s in sets], dtype=np.int64)
+        self.all, code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holds = np.zeros((len(self.all), len(sets)), dtype=np.int32)
+        self.holds[code, np.repeat(np.arange(len(sets)), self.sizes)] = 1
+        union = Union(len(sets))
+        self.links = [(i, j) for i, s in enumerate(sets) for j in np.flatnonzero(rule.links(self.common(s), self.sizes, len(s))).tolist() if union.join(i, j)]
+        self.group = np.array([union.find(i) for i in range(len(sets))])
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.all, own), len(self.all) - 1)
+        return self.holds[at[self.all[at] == own]].sum(axis=0)
+
+
 def _split_task(rule: Rule):
-    """Members of large regions to the cells of the pivots that come first in each (region, salt)."""
+    """Members of large regions to the cells of the pivots that come first in each (region, salt); links to pivots.
+
+    A row without a region is the link (k, label). Else label names a set that k is known to hang together with.
+    """
 
     def run(batches):
-        pivots: list[np.ndarray] = []
-        group = None
+        group, held, pivots = None, [], None
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for region, salt, kind, k, raw, members in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "kind", "k", "own", "members")), strict=True):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+
+            def add(*row, rows=rows):
+                for column, v in zip(rows, row, strict=True):
+                    column.append(v)
+
+            for region, salt, kind, k, raw, members, label in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "kind", "k", "own", "members", "label")), strict=True):
                 if (region, salt) != group:
-                    group, pivots = (region, salt), []
+                    group, held, pivots = (region, salt), [], None
                 own = np.frombuffer(raw, "<u8")
                 if kind == 0:
-                    pivots.append(own)
+                    held.append((k, own))
                     continue
-                common = np.array([len(np.intersect1d(p, own, assume_unique=True)) for p in pivots])
-                d = 1 - common / (np.array([len(p) for p in pivots]) + len(own) - common)
+                if pivots is None:
+                    pivots = Pivots(rule, *map(list, zip(*held, strict=True)))
+                    for i, j in pivots.links:
+                        add(None, pivots.keys[i], None, None, pivots.keys[j])
+                common = pivots.common(own)
+                d = 1 - common / (pivots.sizes + len(own) - common)
+                near = np.flatnonzero(rule.links(common, pivots.sizes, len(own)))
+                if len(near):
+                    for _, i in sorted({int(g): int(i) for i, g in zip(near[::-1], pivots.group[near[::-1]], strict=True)}.items()):
+                        if pivots.keys[i] != k:
+                            add(None, k, None, None, pivots.keys[i])
+                    label = pivots.keys[int(pivots.group[near[0]])]
                 for j, cell in enumerate(voronoi(d[:, None], rule.far)):
                     if len(cell):
-                        for column, v in zip(rows, (f"{region}/{j}", k, raw, members), strict=True):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.string(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["region", "k", "own", "above"])
+                        add(f"{region}/{j}", k, raw, members, label)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["region", "k", "own", "above", "label"])
 
     return run
 
@@ -358,13 +445,22 @@ def _split_task(rule: Rule):
 def _join_regions(members: DataFrame, rule: Rule, limit: int) -> DataFrame:
     """Edges (u, v) within regions: members have region, k, own (the set's bytes)."""
     found = []
-    left = members.withColumn("above", F.lit(None).cast("long"))
+    left = members.select("region", "k", "own", F.lit(None).cast("long").alias("above"), F.lit(None).cast("binary").alias("label"))
     for depth in range(MAX_DEPTH + 1):
         left = cut(left, "regions")
-        sizes = left.groupBy("region").agg(F.sum(F.expr("octet_length(own) div 8")).alias("size"), F.count("*").alias("members"), F.max("above").alias("above"))
-        large = cut(sizes.where(F.col("size") > limit), "large")
+        if depth:
+            found.append(left.where("region IS NULL").select(F.col("k").alias("u"), F.col("label").alias("v")))
+            left = left.where("region IS NOT NULL")
+        sizes = left.groupBy("region").agg(
+            F.sum(F.expr("octet_length(own) div 8")).alias("size"), F.count("*").alias("members"), F.max("above").alias("above"),
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"), F.mode("label").alias("main"),
+        )
+        done = F.coalesce((F.col("low") == F.col("high")) & (F.col("labelled") == F.col("members")), F.lit(False)) | (F.col("members") < 2)
+        sizes = cut(sizes.withColumn("done", done), "sizes")
+        large = sizes.where((F.col("size") > limit) | F.col("done"))
         fits = left.join(large.select("region"), "region", "left_anti")
         found.append(fits.repartition("region").sortWithinPartitions("region").mapInArrow(_join_task(rule), EDGES))
+        large = large.where(~F.col("done"))
         if large.isEmpty():
             break
         wide = left.drop("above").join(large, "region")
@@ -379,10 +475,10 @@ def _join_regions(members: DataFrame, rule: Rule, limit: int) -> DataFrame:
             go.withColumn("at", F.row_number().over(own)).where(F.col("at") <= PIVOTS)
             .groupBy("region", "salts").agg(F.expr(f"slice(array_sort(collect_list(struct(h, k, own))), 1, {PIVOTS})").alias("p"))
             .select("region", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "p")
-            .select("region", "salt", F.explode("p").alias("p")).select("region", "salt", F.lit(0).alias("kind"), "p.k", "p.own", F.lit(0).cast("long").alias("members"))
+            .select("region", "salt", F.explode("p").alias("p")).select("region", "salt", F.lit(0).alias("kind"), "p.k", "p.own", F.lit(0).cast("long").alias("members"), F.lit(None).cast("binary").alias("label"))
         )
-        both = pivots.unionByName(go.select("region", "salt", F.lit(1).alias("kind"), "k", "own", "members"))
-        left = both.repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "k").mapInArrow(_split_task(rule), "region string, k binary, own binary, above long")
+        both = pivots.unionByName(go.select("region", "salt", F.lit(1).alias("kind"), "k", "own", "members", "label"))
+        left = both.repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "k").mapInArrow(_split_task(rule), "region string, k binary, own binary, above long, label binary")
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
@@ -390,11 +486,20 @@ def _join_regions(members: DataFrame, rule: Rule, limit: int) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame, rule: Rule, limit: int) -> DataFrame:
-    """Every pair of a region's blocks, each block bounded, as regions of their own."""
-    blocks = F.ceil(F.col("size") * 2 / limit).cast("int")
-    own = members.select("region", "k", "own", "size").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    named = pairs.select(F.concat_ws(":", "region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "k", "own")
+    """Pairs of a region's blocks, each block bounded, as regions of their own.
+
+    Sets that hang with the region's main label are known to be connected: their blocks meet the others', not each other.
+    """
+    own = members.select("region", "k", "own", "label", F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("ball"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum(F.expr("octet_length(own) div 8")) * 2 / limit)).cast("int")
+    sizes = own.groupBy("region", "ball").agg(blocks.alias("blocks"))
+    sizes = sizes.groupBy("region").agg(F.coalesce(F.max(F.when(F.col("ball"), F.col("blocks"))), F.lit(0)).alias("balls"), F.coalesce(F.max(F.when(~F.col("ball"), F.col("blocks"))), F.lit(0)).alias("rests"))
+    own = own.join(cut(sizes, "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("k"), F.when(F.col("ball"), F.col("balls")).otherwise(F.col("rests"))).cast("int"))
+    among = "transform(sequence(0, rests - 1), i -> concat_ws(':', 'r', least(block, i), greatest(block, i)))"
+    across = "if(balls = 0, array(), transform(sequence(0, balls - 1), i -> concat_ws(':', 'b', i, block)))"
+    meets = "if(rests = 0, array(), transform(sequence(0, rests - 1), i -> concat_ws(':', 'b', block, i)))"
+    named = own.withColumn("pair", F.explode(F.expr(f"if(ball, {meets}, concat({among}, {across}))")))
+    named = named.select(F.concat_ws(":", "region", "pair").alias("region"), "k", "own", "label")
     return named.repartition("region").sortWithinPartitions("region").mapInArrow(_join_task(rule), EDGES)
 
 

@@ -87,3 +87,20 @@ n AS (SELECT k, sum(b - a)::BIGINT AS gone, count(*) AS n_spans FROM r GROUP BY
 SELECT doc_id, t.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha AS kept_sha256
 FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN kept USING (k) LEFT JOIN n USING (k)
 """
+
+JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), c AS (SELECT row_number() OVER () AS k, s, len(s) AS n FROM (SELECT DISTINCT s FROM s WHERE len(s) > 0)),
+sh AS (SELECT k, n, unnest(s) AS x FROM c),
+l AS (SELECT a.k AS a, b.k AS b FROM sh a JOIN sh b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT k AS a, k AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+d AS (SELECT s.doc_id, k, s.s FROM s LEFT JOIN c ON c.s = s.s),
+least AS (SELECT reach.a AS k, min(d.doc_id) AS component_id FROM reach JOIN d ON d.k = reach.b GROUP BY reach.a),
+size AS (SELECT k, count(*) AS class_size FROM d WHERE k IS NOT NULL GROUP BY k)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id, coalesce(class_size, 1)::BIGINT AS class_size
+FROM d LEFT JOIN least USING (k) LEFT JOIN size USING (k)
+"""

@@ -96,4 +96,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from tallow.llm import oracles
 
-    return {"op3_top_k": oracles.TOP_K, "op5_chat": oracles.CHAT, "op6_repeats": oracles.REPEATS, "op10_line_dedup": oracles.LINES}
+    return {"op2_ngram_jaccard": oracles.JACCARD, "op3_top_k": oracles.TOP_K, "op5_chat": oracles.CHAT, "op6_repeats": oracles.REPEATS, "op10_line_dedup": oracles.LINES}

@@ -112,3 +112,76 @@ def test_components(spark):
         u.join(a, b)
     out = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert out == {n: u.find(n) for a, b in pairs if a != b for n in (a, b)}
+
+
+def families(n, size, words=120, changes=3, seed=0):
+    """n families of `size` near copies of a text each, as sets by key."""
+    rng = np.random.default_rng(seed)
+    sets = {}
+    for _ in range(n):
+        base = rng.integers(0, 1 << 60, words).astype(np.uint64)
+        for _ in range(size):
+            own = base.copy()
+            own[rng.integers(0, words, int(rng.integers(0, changes)))] = rng.integers(0, 1 << 60, 1).astype(np.uint64)
+            s = np.unique(own)
+            sets[s.tobytes()] = s
+    keys = sorted(sets)
+    return keys, [sets[k] for k in keys]
+
+
+def test_cells_save_scans():
+    rule = jaccard.Rule(85)
+    keys, sets = families(40, 60)
+    cells, flat = jaccard.Region(keys, sets, rule), jaccard.Region(keys, sets, rule)
+    a, b = jaccard.join_region(cells, rule), jaccard.join_region(flat, rule, leaf=10**6)
+    assert len(a) == len(b) == len(sets) - 40
+    assert cells.scans < 200 < len(sets) - 100 < flat.scans
+
+
+def test_a_large_family_costs_few_scans():
+    rule = jaccard.Rule(85)
+    keys, sets = families(1, 30_000, words=60)
+    region = jaccard.Region(keys, sets, rule)
+    assert len(jaccard.join_region(region, rule)) == len(sets) - 1 and region.scans < 10
+
+
+def test_close_sets_without_links_are_left_out():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 80).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 20).astype(np.uint64)])) for _ in range(500)]
+    region = jaccard.Region([s.tobytes() for s in sets], sets, jaccard.Rule(85))
+    assert not len(region.at) and jaccard.join_region(region, jaccard.Rule(85)) == [] and region.scans == 0
+
+
+@pytest.mark.parametrize(("seed", "limit"), [(8, 300), (9, 700), (10, 1500)])
+def test_families_and_chains_across_the_cluster(spark, monkeypatch, seed, limit):
+    rows = corpus(seed, families=2, copies=60, size=50, changes=3)
+    rows += [(1000 + i, t + f" own{i} words{i} here{i}") for i, (_, t) in enumerate(rows[:30])]
+    assert got(spark, rows, 4, 85, region_shingles=limit) == brute(rows, 4, 85)
+
+
+def test_stuck_regions_pair_what_is_left(spark):
+    rule = jaccard.Rule(85)
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 60, 60)]
+    sets = {}
+    for i in range(150):
+        own = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            own[int(rng.integers(60))] = int(rng.integers(0, 1 << 60))
+        s = np.unique(np.array(own, dtype=np.uint64))
+        sets[f"{i:016d}".encode()] = s
+    keys = sorted(sets)
+    members = spark.createDataFrame([("r", bytearray(k), bytearray(sets[k].tobytes())) for k in keys], "region string, k binary, own binary")
+    for limit in (600, 2000):
+        u, v = jaccard.Union(len(keys)), jaccard.Union(len(keys))
+        for r in jaccard._join_regions(members, rule, limit).collect():
+            i, j = keys.index(bytes(r.u)), keys.index(bytes(r.v))
+            c = len(np.intersect1d(sets[keys[i]], sets[keys[j]]))
+            assert rule.links(c, len(sets[keys[i]]), len(sets[keys[j]]))
+            u.join(i, j)
+        for i in range(len(keys)):
+            for j in range(i):
+                if rule.links(len(np.intersect1d(sets[keys[i]], sets[keys[j]])), len(sets[keys[i]]), len(sets[keys[j]])):
+                    v.join(i, j)
+        assert [u.find(i) for i in range(len(keys))] == [v.find(i) for i in range(len(keys))]
