@@ -4,14 +4,14 @@ from __future__ import annotations
 
 TOP_K = """
 WITH v AS (
-  SELECT vec_id, min(e) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
-  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
-), i AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM v),
+  SELECT row_number() OVER () AS row_id, vec_id, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), i AS (SELECT row_id, vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM i q JOIN i c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.row_id AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM i q JOIN i c ON q.vec_id % 50 = 0 AND q.row_id <> c.row_id AND len(q.e) = len(c.e)
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
 

@@ -9,17 +9,14 @@ SCHEMA = "vec_id long, embedding array<double>, score long, kind int"
 
 
 def brute(rows, k):
-    good = {}
-    for v, e in rows:
-        if v is not None and e and all(x is not None and math.isfinite(x) for x in e):
-            good[v] = min(good.get(v, e), e)
-    ints = {v: [math.floor(256 * x) for x in e] for v, e in good.items()}
+    """Every row but the query's own is a candidate, rows with the same vec_id among them."""
+    good = [(v, [math.floor(256 * x) for x in e]) for v, e in rows if v is not None and e and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for q in sorted(ints):
+    for i, (q, own) in enumerate(good):
         if q % 50 == 0:
-            scored = sorted((-max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(ints[q], e, strict=True)))), v) for v, e in ints.items() if v != q and len(e) == len(ints[q]))
+            scored = sorted((-max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(own, e, strict=True)))), v) for j, (v, e) in enumerate(good) if j != i and len(e) == len(own))
             out += [(q, r, v, -s) for r, (s, v) in enumerate(scored[:k], 1)]
-    return out
+    return sorted(out)
 
 
 def got(spark, rows, k=5, **more):
@@ -58,3 +55,59 @@ def test_bounds_hold():
 def test_few_and_none(spark):
     assert got(spark, []) == []
     assert got(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
+
+
+def test_repeated_rows_are_candidates_of_each_other(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.5, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.25, 1.0])]
+    assert got(spark, rows) == brute(rows, 5)
+
+
+@pytest.mark.parametrize("least", [8, 64])
+def test_many_parts_and_a_hot_vector(spark, monkeypatch, least):
+    monkeypatch.setattr(topk, "PART_LEAST", least)
+    monkeypatch.setattr(topk, "PART_BYTES", least * 16 * 8)
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=16).tolist()
+    rows = [(i, hot if i % 3 else rng.normal(size=16).tolist()) for i in range(900)]
+    assert got(spark, rows, block=7) == brute(rows, 5)
+
+
+def clustered(n, dim=64, clusters=40, noise=0.05, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    x = centres[rng.integers(0, clusters, n)] + noise * rng.normal(size=(n, dim))
+    return np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+
+
+def test_bounds_leave_few_pairs_of_clustered_vectors():
+    x = clustered(20_000)
+    ids = np.arange(len(x))
+    seeds = topk.Seeds([], [], None, 5)
+    some = ids[:: topk.SEED_SHARE]
+    seeds.parts[64] = topk.Part(some, some, x[some])
+    seeds.centre[64] = np.median(topk.means_and_deviations(x[some], topk.SIGNS)[0], axis=0)
+    order = np.argsort(seeds.cells(x), kind="stable")
+    part = topk.Part(ids[order], ids[order], x[order])
+    q = ids[::50]
+    best = topk.Best(q, x[q], 5, seeds.floors(q, x[q]))
+    part.search(best)
+    assert best.pairs == len(q) * len(x) and best.scored < 0.2 * best.pairs
+    scores = (x[q] @ x.T).astype(int)
+    scores[np.arange(len(q)), q] = -(10**9)
+    for i in range(0, len(q), 20):
+        want = sorted((-s, j) for j, s in enumerate(scores[i].tolist()))[:5]
+        assert [t[:2] for t in best.top[i]] == want
+
+
+def test_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr(topk, "PART_BYTES", 800 * 8)
+    monkeypatch.setattr(topk, "PART_LEAST", 100)
+    box = [[0.0]] * 3
+    plan = topk.Plan([(c, 8, n, *box, 1.0) for c, n in enumerate([10, 20, 90, 350, 5, 95, 40])] + [(0, 3, 7, *box, 1.0)])
+    held = {}
+    for (c, dim), (first, n) in plan.where.items():
+        for p in range(first, first + n):
+            held.setdefault(p, []).append((c, dim))
+    assert sorted(held) == list(range(plan.count)) and plan.where[3, 8][1] == 4
+    sizes = dict(enumerate([10, 20, 90, 350, 5, 95, 40]))
+    assert all(len({d for _, d in own}) == 1 and sum(sizes[c] // plan.where[c, 8][1] for c, d in own if d == 8) <= 100 for own in held.values())
