@@ -1,14 +1,16 @@
 """Format-preserving Feistel pseudonyms for personal data.
 
 Found and validated: payment cards (13 to 19 digits, Luhn), international phone numbers, US social security
-numbers, IBANs (checksum), IPv4 addresses, ISO and day-first dates, and e-mail addresses. Each value is
+numbers, IBANs (checksum), IPv4 addresses, dates (ISO, day-first, and month-first where no day-first reading is a date),
+and e-mail addresses. Each value is
 normalised, permuted under a key inside its own format, and written back with its separators, so that equal
 values stay linked in every document and each pseudonym is again a valid value of its kind:
 
 * numbers: a balanced Feistel network over the free digits, walking on until the result is in the domain; the
   pseudonym is the value that comes next in the network's order, so that none is its own pseudonym
   (cards keep their first six digits' length class and get a new Luhn digit; octets stay under 256);
-* dates: the day number within 1900-01-01 .. 2099-12-31 is permuted, with the same walk;
+* dates: the day number within 1900-01-01 .. 2099-12-31 is permuted, walking on until the date can be written in the
+  same way: in as many digits, and month-first only where it can't be read day-first;
 * e-mail: letters and digits of the local part are permuted as base-26 and base-10 numbers; the domain stays.
 
 A 16-digit run is taken as a card only if its Luhn digit holds or `strict_cards` is off: then any lone run
@@ -17,8 +19,12 @@ of 16 digits counts, which is how card-like account numbers are logged.
 A number beside a value may be taken for a part of it. So where the longest match isn't valid, shorter ones that
 end at a token's edge are tried, for cards later starts too, and the search goes on right after the failed start.
 
+The key comes from the caller, or from the session's `spark.tallow.pii.key`; without either the public TEST_KEY is
+used and a warning given, since anyone can then undo the pseudonyms.
+
 Edge cases: a null text stays null with zero counts; repeated rows each give a row; all other columns pass
-through unchanged; an empty table gives an empty result.
+through unchanged, but with counts the table's own columns named pii_<kind> or pii_spans give way to the new ones; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import datetime as dt
 import hashlib
 import hmac
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,10 +44,12 @@ from pyspark.sql import types as T
 
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ssn", "iban", "ip", "date")
-#: Key used where the caller gives none; production passes its own secret.
-DEFAULT_KEY = b"tallow pseudonyms v1"
+#: Public key of tests and of the registered queries, which must give the same result for everyone.
+TEST_KEY = b"tallow pseudonyms v1"
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 CACHE_VALUES = 200_000
+#: Permutations kept at a time; e-mail domains have their own, and there is no end to them.
+CACHE_NETWORKS = 4096
 
 FIND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
@@ -115,7 +124,7 @@ def iban_check(country: str, bban: str) -> str:
 class Pseudonyms:
     """All permutations of one key, with a bounded cache of values."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, strict_cards: bool = False):
+    def __init__(self, key: bytes = TEST_KEY, strict_cards: bool = False):
         self.key, self.strict_cards = key, strict_cards
         self._feistel: dict[tuple[str, int], Feistel] = {}
         self._cache: dict[tuple[str, str], str | None] = {}
@@ -123,6 +132,8 @@ class Pseudonyms:
     def permute(self, label: str, v: int, n: int) -> int:
         own = self._feistel.get((label, n))
         if own is None:
+            if len(self._feistel) >= CACHE_NETWORKS:
+                self._feistel.clear()
             own = self._feistel[label, n] = Feistel(self.key, label, n)
         # one step along the permuted order: a permutation too, and one that leaves no value as it was
         return own.inverse((own.forward(v) + 1) % n)
@@ -198,23 +209,30 @@ class Pseudonyms:
         return ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
 
     def _date(self, value: str) -> str | None:
-        try:
-            if value[4] == "-":
-                day = dt.date.fromisoformat(value)
-            else:
-                d, m, y = map(int, re.split(r"[/.]", value))
-                if value[-5] not in value[:-5]:
-                    return None
-                day = dt.date(y, m, d)
-        except ValueError:
-            return None
-        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+        iso = value[4] == "-"
+        first, second, year = re.split(r"[-/.]", value)[:: -1 if iso else 1]
+        if not iso and value[-5] not in value[:-5]:
             return None
-        new = dt.date.fromordinal(FIRST_DAY + self.permute("date", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-        if value[4] == "-":
-            return new.isoformat()
-        sep = value[-5]
-        return f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year}"
+        widths = (len(first), len(second))
+        for month_first in (False,) if iso else (False, True):
+            d, m = (second, first) if month_first else (first, second)
+            try:
+                day = dt.date(int(year), int(m), int(d)).toordinal()
+            except ValueError:
+                continue
+            if not FIRST_DAY <= day <= LAST_DAY:
+                return None
+            while True:
+                day = FIRST_DAY + self.permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1)
+                new = dt.date.fromordinal(day)
+                numbers = (new.month, new.day) if month_first else (new.day, new.month)
+                if (not month_first or new.day > 12) and all(w == 2 or x < 10 for w, x in zip(widths, numbers, strict=True)):
+                    break
+            if iso:
+                return new.isoformat()
+            sep = value[-5]
+            return sep.join([*(f"{x:0{w}d}" for x, w in zip(numbers, widths, strict=True)), f"{new.year:04d}"])
+        return None
 
     def _runs(self, label: str, text: str) -> str:
         """Permute each run of letters of one case and of digits within its length."""
@@ -311,8 +329,17 @@ class Pseudonyms:
         return "".join(parts) + text[at:], spans
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, column: str = "text", strict_cards: bool = False, counts: bool = True) -> DataFrame:
+def _session_key(docs: DataFrame) -> bytes:
+    found = docs.sparkSession.conf.get("spark.tallow.pii.key", None)
+    if found:
+        return found.encode()
+    warnings.warn("no key for pseudonyms: the public test key is used", stacklevel=3)
+    return TEST_KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, column: str = "text", strict_cards: bool = False, counts: bool = True) -> DataFrame:
     """docs with `column` replaced; with counts, also pii_<kind> (int) for each kind and pii_spans."""
+    key = _session_key(docs) if key is None else key
     schema = T.StructType([f for f in docs.schema.fields if not counts or f.name not in _extra()] + (_fields() if counts else []))
     docs = docs.select(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not counts or f.name not in _extra()])
     place = docs.columns.index(column)

@@ -74,7 +74,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallow.llm import pii
 
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.TEST_KEY)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,9 @@ def test_left_alone(text):
 
 
 def test_strict_cards():
-    assert pii.Pseudonyms(b"key", strict_cards=True).apply("9807915762804491") == ("9807915762804491", []) or pii.luhn_digit("980791576280449") == "1"
+    assert pii.luhn_digit("980791576280449") != "1"  # an account number, no card
+    assert pii.Pseudonyms(b"key", strict_cards=True).apply("9807915762804491") == ("9807915762804491", [])
+    assert OWN.apply("9807915762804491")[1] == [("card", 0, 16)]
 
 
 def test_table(spark):
@@ -115,3 +117,88 @@ def test_number_tables_end():
     text = "12 3 " * 20_000
     out, spans = OWN.apply(text)
     assert len(out) == len(text) and all(a < b <= c for (_, a, b), (_, c, _) in zip(spans, spans[1:], strict=False))
+
+
+def plain_order(key, label, n):
+    """0 .. n - 1 in the network's order, from the definition: eight rounds of (a, b) -> (b, a xor F(b)) on halves."""
+    import hashlib
+
+    bits = max(2, (n - 1).bit_length() + (n - 1).bit_length() % 2)
+    half = bits // 2
+
+    def once(v):
+        a, b = divmod(v, 2**half)
+        for r in range(8):
+            own = hashlib.blake2b(f"{label}:{n}:{r}".encode(), key=hashlib.sha256(key).digest(), digest_size=32).digest()
+            f = int.from_bytes(hashlib.blake2b(b.to_bytes(16, "little"), key=own, digest_size=16).digest(), "little") % 2**half
+            a, b = b, a ^ f
+        return a * 2**half + b
+
+    def place(v):
+        v = once(v)
+        while v >= n:
+            v = once(v)
+        return v
+
+    return sorted(range(n), key=place)
+
+
+@pytest.mark.parametrize(("label", "n"), [("x", 2), ("email@y.z9", 10), ("phone12", 100), ("t", 1000)])
+def test_equals_the_plain_network(label, n):
+    order = plain_order(b"key", label, n)
+    want = {v: order[(i + 1) % n] for i, v in enumerate(order)}
+    assert {v: OWN.permute(label, v, n) for v in range(n)} == want
+
+
+def test_values_in_texts_equal_brute_force():
+    """Digits of three-digit runs in e-mails, by the plain network, put into texts at known places."""
+    order = plain_order(b"key", "email@a.example3", 1000)
+    after = {v: order[(i + 1) % 1000] for i, v in enumerate(order)}
+    for i in range(0, 1000, 37):
+        text = f"write to {i:03d}@a.example, or {(i * 7) % 1000:03d}@A.example; not 17 or {i}."
+        want = f"write to {after[i]:03d}@a.example, or {after[i * 7 % 1000]:03d}@A.example; not 17 or {i}."
+        assert OWN.apply(text)[0] == want
+
+
+@pytest.mark.parametrize("value", ["12/25/1990", "1/5/2020", "9.9.1999", "31.12.1999", "01/05/2020", "1/25/2020", "10/9/2001", "3.11.1950", "2/29/2024"])
+def test_dates_keep_their_format(value):
+    out, spans = OWN.apply(f"on {value} at")
+    new = out[3:-3]
+    assert [k for k, _, _ in spans] == ["date"] and new != value
+    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+
+    def reading(v):
+        a, b, y = map(int, re.split(r"[/.]", v))
+        try:
+            return "day", dt.date(y, b, a)
+        except ValueError:
+            return "month", dt.date(y, a, b)
+
+    assert reading(new)[0] == reading(value)[0]
+
+
+def test_dates_of_one_format_map_one_to_one():
+    days = [dt.date(1990, 1, 1) + dt.timedelta(i) for i in range(1500)]
+    texts = {f"{d.day}/{d.month}/{d.year}" for d in days} | {f"{d.month}/{d.day}/{d.year}" for d in days if d.day > 12} | {f"{d.day:02d}/{d.month:02d}/{d.year}" for d in days}
+    assert len({OWN.replace("date", t) for t in texts}) == len(texts)
+
+
+def test_networks_are_bounded(monkeypatch):
+    monkeypatch.setattr(pii, "CACHE_NETWORKS", 50)
+    own = pii.Pseudonyms(b"key")
+    first = own.replace("email", "ann7@d0.example")
+    for i in range(300):
+        own.replace("email", f"ann7@d{i}.example")
+    assert len(own._feistel) <= 50 and pii.Pseudonyms(b"key").replace("email", "ann7@d0.example") == first
+
+
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "mail bob.77@x.example")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="public test key"):
+        public = pii.pseudonymise(docs, counts=False).first().text
+    assert public == pii.pseudonymise(docs, pii.TEST_KEY, counts=False).first().text
+    spark.conf.set("spark.tallow.pii.key", "secret")
+    try:
+        assert pii.pseudonymise(docs, counts=False).first().text == pii.pseudonymise(docs, b"secret", counts=False).first().text != public
+    finally:
+        spark.conf.unset("spark.tallow.pii.key")
