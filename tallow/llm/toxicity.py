@@ -3,11 +3,13 @@
 Features: densities of a fixed lexicon and of one learned from the labels, how near such words stand to a
 second-person pronoun, capitals, punctuation, symbol noise, and words that only match the lexicon once
 their digits and symbols are read as letters. Trees are grown on histograms in numpy from a bounded sample
-of labelled rows (`max_rows`, by hash of doc_id); calibration is pool-adjacent-violators on scores of
-folds left out. The model is a few kilobytes, and every document is scored whole.
+of labelled documents (`max_rows`, by hash of doc_id); calibration is pool-adjacent-violators on scores of
+folds left out, whose labels neither the trees nor the lexicon of that score have seen. The model is a few
+kilobytes, and every document is scored whole.
 
 Edge cases: a null or empty text is scored like any other, with all densities zero; labels without a doc_id
-or a 0/1 value are ignored, and where a doc_id has several labels the highest counts; with no labels of one
+or a 0/1 value are ignored, and where a doc_id has several labels the highest counts, or several texts the
+smallest; with no labels of one
 of the classes every score is the share of label 1 (0 without labels); repeated rows each give a row; an
 empty table gives an empty result.
 """
@@ -32,6 +34,7 @@ LEXICON_SIZE = 64
 #: Lengths of word beginnings that are learned, besides whole words.
 LEAST_START, MOST_START = 3, 7
 THRESHOLD = 0.3
+FOLDS = 4
 
 # Common insults, and second-person pronouns, in English, German, French and Spanish.
 INSULTS = frozenset(
@@ -77,44 +80,49 @@ class Lexicon:
         return max([self.words.get(word, 0.0), *(self.starts.get(word[:n], 0.0) for n in self.sizes)])
 
 
+class Parsed:
+    """What a text's features need of it, whatever the learned lexicon."""
+
+    def __init__(self, text: str, raw: np.ndarray):
+        kinds = np.bincount(_CLASS[raw], minlength=10)
+        letters, size = max(1, int(kinds[1] + kinds[2] + kinds[8])), max(1, len(raw))
+        words = self.words = WORD.findall(text.lower())
+        n = self.n = max(1, len(words))
+        self.hits = [i for i, w in enumerate(words) if w in INSULTS]
+        self.pronouns = np.array([i for i, w in enumerate(words) if w in SECOND])
+        masked = MASKED.findall(text) if kinds[3] or kinds[5] or kinds[7] or kinds[9] else []
+        self.hidden = [w for m in masked if (low := m.lower()) not in INSULTS and (w := low.translate(LOOKALIKE)) is not None]
+        self.hidden += ["".join(WORD.findall(m.lower())) for m in SPACED.findall(text)]
+        peak = 0
+        if self.hits:
+            h = np.array(self.hits)
+            peak = int((np.searchsorted(h, h + 50) - np.arange(len(h))).max())
+        shouted = sum(map(str.isupper, text.split())) if kinds[2] else 0
+        self.first = [math.log1p(n), len(self.hits) / n, math.log1p(len(self.hits)), len({words[i] for i in self.hits}), peak]
+        self.pronoun_share, self.masked_share = len(self.pronouns) / n, len(masked) / n
+        self.last = [
+            kinds[2] / letters, shouted / n, kinds[5] / size, kinds[6] / size, kinds[7] / size, kinds[3] / size, kinds[9] / size,
+            len(set(words)) / n,
+        ]
+
+    def features(self, learned: Lexicon) -> list[float]:
+        n, heads = self.n, learned.heads
+        weights = {i: x for i, w in enumerate(self.words) if w[:LEAST_START] in heads and (x := learned.weight(w))}
+        hidden = sum(w in INSULTS or learned.weight(w) > 0 for w in self.hidden)
+        both = sorted({*self.hits, *weights})
+        near = 0
+        if both and len(self.pronouns):
+            p = self.pronouns
+            at = np.searchsorted(p, both)
+            left = np.where(at > 0, np.array(both) - p[np.maximum(at - 1, 0)], 1 << 30)
+            right = np.where(at < len(p), p[np.minimum(at, len(p) - 1)] - np.array(both), 1 << 30)
+            near = int((np.minimum(left, right) <= NEAR_WORDS).sum())
+        own = [len(weights) / n, math.log1p(len(weights)), sum(weights.values()) / n, near / n, self.pronoun_share, hidden / n, self.masked_share]
+        return [*self.first, *own, *self.last]
+
+
 def features(text: str, raw: np.ndarray, learned: Lexicon) -> list[float]:
-    kinds = np.bincount(_CLASS[raw], minlength=10)
-    letters, size = max(1, int(kinds[1] + kinds[2] + kinds[8])), max(1, len(raw))
-    words = WORD.findall(text.lower())
-    n = max(1, len(words))
-    hits = [i for i, w in enumerate(words) if w in INSULTS]
-    heads = learned.heads
-    weights = {i: x for i, w in enumerate(words) if w[:LEAST_START] in heads and (x := learned.weight(w))}
-    own = list(weights)
-    masked = 0
-    hidden = 0
-    if kinds[3] or kinds[5] or kinds[7] or kinds[9]:
-        for m in MASKED.findall(text):
-            masked += 1
-            w = m.lower().translate(LOOKALIKE)
-            hidden += (w in INSULTS or learned.weight(w) > 0) and m.lower() not in INSULTS
-    for m in SPACED.findall(text):
-        w = "".join(WORD.findall(m.lower()))
-        hidden += w in INSULTS or learned.weight(w) > 0
-    both = sorted({*hits, *own})
-    pronouns = [i for i, w in enumerate(words) if w in SECOND]
-    near = 0
-    if both and pronouns:
-        p = np.array(pronouns)
-        at = np.searchsorted(p, both)
-        left = np.where(at > 0, np.array(both) - p[np.maximum(at - 1, 0)], 1 << 30)
-        right = np.where(at < len(p), p[np.minimum(at, len(p) - 1)] - np.array(both), 1 << 30)
-        near = int((np.minimum(left, right) <= NEAR_WORDS).sum())
-    peak = 0
-    if hits:
-        h = np.array(hits)
-        peak = int((np.searchsorted(h, h + 50) - np.arange(len(h))).max())
-    shouted = sum(map(str.isupper, text.split())) if kinds[2] else 0
-    return [
-        math.log1p(n), len(hits) / n, math.log1p(len(hits)), len({words[i] for i in hits}), peak, len(own) / n, math.log1p(len(own)),
-        sum(weights.values()) / n, near / n, len(pronouns) / n, hidden / n, masked / n, kinds[2] / letters, shouted / n,
-        kinds[5] / size, kinds[6] / size, kinds[7] / size, kinds[3] / size, kinds[9] / size, len(set(words)) / n,
-    ]
+    return Parsed(text, raw).features(learned)
 
 
 # -- trees -------------------------------------------------------------------------------------------
@@ -224,20 +232,31 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[keep], level[keep]
 
 
-def fit(x: np.ndarray, y: np.ndarray, folds: int = 4) -> Model:
+def _folds(y: np.ndarray, folds: int) -> np.ndarray:
+    """A fold for each row, each with its share of both labels."""
+    place = np.empty(len(y), dtype=np.int64)
+    place[np.argsort(y, kind="stable")] = np.arange(len(y)) % folds
+    return place
+
+
+def fit(x: np.ndarray, y: np.ndarray, folds: int = FOLDS, place: np.ndarray | None = None, apart: list[np.ndarray] | None = None) -> Model:
+    """Trees on x, calibrated on scores of folds left out.
+
+    place: the fold of each row; apart: for each fold, all rows' features as a lexicon has them that hasn't seen it.
+    """
     if not len(y) or y.min() == y.max():
         level = float(y.mean()) if len(y) else 0.0
         return Model(0.0, [], (np.array([0.0]), np.array([level])))
-    fold = np.arange(len(y)) % folds
-    order = np.argsort(y, kind="stable")  # each fold gets its share of both labels
-    place = np.empty(len(y), dtype=np.int64)
-    place[order] = fold
-    left_out = np.zeros(len(y))
+    place = _folds(y, folds) if place is None else place
+    left_out, known = np.zeros(len(y)), np.zeros(len(y), dtype=bool)
     for k in range(folds):
         train = place != k
-        left_out[~train] = boost(x[train], y[train]).raw(x[~train]) if len(set(y[train])) > 1 else 0.0
+        own = x if apart is None else apart[k]
+        if len(set(y[train])) > 1:
+            left_out[~train] = boost(own[train], y[train]).raw(own[~train])
+            known[~train] = True
     model = boost(x, y)
-    model.knots = isotonic(left_out, y)
+    model.knots = isotonic(left_out[known], y[known]) if known.any() else isotonic(model.raw(x), y)
     return model
 
 
@@ -245,39 +264,52 @@ def fit(x: np.ndarray, y: np.ndarray, folds: int = 4) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, usable=None) -> DataFrame:
-    """Texts and labels of at most max_rows documents, by hash of doc_id."""
+    """doc_id, toxic and text of at most max_rows documents, by hash of doc_id; a row for each."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     if usable is not None:
         own = own.where(usable)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the sample has max_rows small rows at most, whatever the size of the tables
-    return texts.join(F.broadcast(own), "doc_id").select("doc_id", "toxic", "text")
+    found = texts.join(F.broadcast(own), "doc_id").select("doc_id", "toxic", "text")
+    # a doc_id with many rows is reduced to one in each task before anything moves
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
 
+def learn_lexicons(rows: DataFrame, folds: int = FOLDS, size: int = LEXICON_SIZE) -> list[dict[str, float]]:
+    """Words and beginnings of words by the lower bound of their log-odds under label 1, over documents.
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
-    """Words and beginnings of words by the lower bound of their log-odds under label 1, over documents."""
+    rows: toxic, text and fold. First the lexicon of all rows, then for each fold that of the others.
+    """
+    names = ["word", *(f"{c}{k}" for k in range(folds) for c in ("neg", "pos"))]
 
     def run(batches):
         for batch in batches:
             got: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic, fold in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 words = set(WORD.findall(text.lower()))
                 for w in words | {w[:k] + "*" for w in words for k in range(LEAST_START, min(MOST_START, len(w) - 1) + 1)}:
-                    got.setdefault(w, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v[1] for v in got.values()], pa.int64()), pa.array([v[0] for v in got.values()], pa.int64())], ["word", "pos", "neg"])
-
-    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
-    if not n_pos or not n_neg:
-        return {}
-    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
-    bound = odds - 1.96 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    found = (
-        rows.mapInArrow(run, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((F.col("pos") >= max(3, 0.02 * n_pos)) & (F.length("word") >= LEAST_START)).withColumn("bound", bound).where("bound > 1.4").orderBy(F.desc("bound"), "word").limit(16 * size).collect()
-    )
-    return choose_units([(r.word, r.pos, r.neg, float(r.bound)) for r in found], size)
+                    got.setdefault(w, [0] * 2 * folds)[2 * fold + toxic] += 1
+            counts = np.array(list(got.values()), dtype=np.int64).reshape(-1, 2 * folds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *(pa.array(c) for c in counts.T)], names)
+
+    n = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    counted = rows.mapInArrow(run, ", ".join(["word string", *(f"{c} long" for c in names[1:])])).groupBy("word").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    pos_of = "(" + " + ".join(f"pos{k}" for k in range(folds)) + ")"
+    counted = cut(counted.where(F.expr(f"{pos_of} >= 3") & (F.length("word") >= LEAST_START)), "words")
+    out = []
+    for left_out in (None, *range(folds)):
+        some = [k for k in range(folds) if k != left_out]
+        n_neg, n_pos = (sum(n.get((k, label), 0) for k in some) for label in (0, 1))
+        if not n_pos or not n_neg:
+            out.append({})
+            continue
+        own = counted.select("word", *(F.expr(" + ".join(f"{c}{k}" for k in some)).alias(c) for c in ("pos", "neg")))
+        odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
+        bound = odds - 1.96 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+        found = own.where(F.col("pos") >= max(3, 0.02 * n_pos)).withColumn("bound", bound).where("bound > 1.4").orderBy(F.desc("bound"), "word").limit(16 * size).collect()
+        out.append(choose_units([(r.word, r.pos, r.neg, float(r.bound)) for r in found], size))
+    return out
 
 
 def choose_units(found: list[tuple[str, int, int, float]], size: int) -> dict[str, float]:
@@ -298,20 +330,23 @@ def choose_units(found: list[tuple[str, int, int, float]], size: int) -> dict[st
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, usable=None) -> Model:
     """Fit on labelled documents; `usable` is a condition on doc_id that says whose labels may be used."""
-    rows = cut(labelled(docs, labels, max_rows, usable), "labelled")
-    lexicon = learn_lexicon(rows)
-    index = Lexicon(lexicon)
-    names = ", ".join(f"{n} double" for n in NAMES)
+    rows = cut(labelled(docs, labels, max_rows, usable), "labelled").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
+    lexicons = learn_lexicons(rows)
+    indices = [Lexicon(x) for x in lexicons]
+    names = [f"{n}_{k}" for k in range(len(indices)) for n in NAMES]
 
     def run(batches):
         for batch in text_slices(batches):
             raw, offs = text_bytes(batch.column("text"))
-            x = np.array([features(t, raw[a:b], index) for t, a, b in zip(batch.column("text").to_pylist(), offs[:-1], offs[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(x[:, i]) for i in range(len(NAMES)))], ["doc_id", "toxic", *NAMES])
-
-    got = rows.mapInArrow(run, f"doc_id long, toxic int, {names}").toPandas().sort_values(["doc_id", *NAMES], kind="stable")
-    model = fit(got[list(NAMES)].to_numpy(dtype=float), got["toxic"].to_numpy(dtype=float))
-    model.lexicon = lexicon
+            parsed = (Parsed(t, raw[a:b]) for t, a, b in zip(batch.column("text").to_pylist(), offs[:-1], offs[1:], strict=True))
+            x = np.array([[v for index in indices for v in p.features(index)] for p in parsed])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), *(pa.array(c) for c in x.T)], ["doc_id", "toxic", "fold", *names])
+
+    schema = ", ".join(["doc_id long", "toxic int", "fold int", *(f"`{n}` double" for n in names)])
+    got = rows.mapInArrow(run, schema).toPandas().sort_values("doc_id", kind="stable")  # max_rows rows at most
+    x = got[names].to_numpy(dtype=float).reshape(len(got), len(indices), len(NAMES))
+    model = fit(x[:, 0], got["toxic"].to_numpy(dtype=float), FOLDS, got["fold"].to_numpy(), [x[:, 1 + k] for k in range(FOLDS)])
+    model.lexicon = lexicons[0]
     return model
 
 
