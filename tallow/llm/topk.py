@@ -154,6 +154,8 @@ class Best:
             got = np.einsum("ij,ij->i", self.q[i], x[j])
             near = got >= self.floor[i]
             i, j, got = i[near], j[near], got[near]
+        if not len(i):
+            return
         order = np.lexsort((rows[j], ids[j], -got, i))
         i, j, got = i[order], j[order], got[order]
         begin = np.flatnonzero(np.diff(i, prepend=-1))

@@ -111,3 +111,14 @@ def test_parts_are_bounded(monkeypatch):
     assert sorted(held) == list(range(plan.count)) and plan.where[3, 8][1] == 4
     sizes = dict(enumerate([10, 20, 90, 350, 5, 95, 40]))
     assert all(len({d for _, d in own}) == 1 and sum(sizes[c] // plan.where[c, 8][1] for c, d in own if d == 8) <= 100 for own in held.values())
+
+
+def test_nothing_reaches_the_floor():
+    x = np.array([[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]] * 30)
+    part = topk.Part(np.arange(30), np.arange(30), x)
+    best = topk.Best(np.array([99]), x[:1], 5, [(-92, 3)])
+    part.search(best)
+    assert best.top == [[]]
+    best = topk.Best(np.array([99]), x[:1], 5, [(-91, 3)])
+    part.search(best)
+    assert [t[:2] for t in best.top[0]] == [(-91, 0), (-91, 1), (-91, 2), (-91, 3)]
