@@ -7,6 +7,7 @@ import importlib
 import sys
 import urllib.request
 from collections.abc import Sequence
+from pathlib import Path
 
 from tallow import report
 from tallow.engine import CandleEngine, Upstream
@@ -60,7 +61,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--before")
     e.add_argument("--all", action="store_true")
     e.add_argument("--dry-run", action="store_true")
-    sub.add_parser("verify")
+    sub.add_parser("verify").add_argument("--rm", action="store_true", help="delete archives that fail, with their sidecars")
     return p
 
 
@@ -104,8 +105,7 @@ def main(argv: Sequence[str] | None = None, spark=None, upstream: Upstream | Non
 def _run(engine: CandleEngine, args) -> int:
     if args.command == "download":
         wanted = requests_of(args.symbol, args.interval, args.start, args.end)
-        if len(wanted) > 1 and args.out == "-":
-            raise InvalidRequestError("several requests can't share standard output")
+        sinks.check_destination(args.out, len(wanted))
         now, failed = engine.clock(), 0
         for r in wanted:
             try:
@@ -125,6 +125,9 @@ def _run(engine: CandleEngine, args) -> int:
         bad = engine.verify_cache().where("status <> 'ok'").orderBy("stem").collect()
         for r in bad:
             print(f"{r.stem}: {r.status}")
+        if args.rm:
+            for r in engine.remove_failed():
+                print(f"removed {Path(r.path).name}" if r.removed else f"could not remove {r.path}: {r.reason}", file=sys.stdout if r.removed else sys.stderr)
         return FAILED if bad else OK
     else:
         if args.command == "prune":

@@ -201,6 +201,9 @@ class CandleEngine:
     def verify_cache(self) -> DataFrame:
         return store.verify(self.spark, self.root)
 
+    def remove_failed(self) -> list[store.Removal]:
+        return store.remove_failed(self.spark, self.root)
+
     def cache_usage(self) -> DataFrame:
         return store.usage(self.spark, self.root)
 

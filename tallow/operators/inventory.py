@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXTENSIONS = ((".zip.CHECKSUM", "sidecars"), (".zip", "archives"), (".parquet", "parquet"))
@@ -25,9 +25,23 @@ def usage(files: DataFrame) -> DataFrame:
 
 
 def verified(archives: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """stem and status of archives (stem, content) against sidecars (stem, wanted)."""
+    """stem and status of archives (stem, content) against sidecars (stem, wanted; empty where it names no checksum)."""
     own = archives.select("stem", F.sha2("content", 256).alias("actual")).join(sidecars.select("stem", "wanted"), "stem", "left")
-    return own.select("stem", F.when(F.col("wanted").isNull(), "no sidecar").when(F.lower("wanted") == F.col("actual"), "ok").otherwise("mismatch").alias("status"))
+    return own.select("stem", F.when(F.col("wanted").isNull(), "no sidecar").when(F.col("wanted") == "", "bad sidecar").when(F.lower("wanted") == F.col("actual"), "ok").otherwise("mismatch").alias("status"))
+
+
+def removable(status: Column) -> Column:
+    """Whether a failed archive may go: it is damaged, or half of its entry is gone. A bad sidecar says nothing about it."""
+    return status.isin("mismatch", "no sidecar")
+
+
+def prunable(files: DataFrame) -> DataFrame:
+    """path and length of archives whose sidecar and Parquet file are there: what pruning may free at most."""
+    own = files.withColumn("class", file_class()).where("class <> 'other'").withColumn("stem", F.regexp_replace("path", r"(\.zip\.CHECKSUM|\.zip|\.parquet)$", ""))
+    return (
+        own.groupBy("stem").agg(F.count_if(F.col("class") != "archives").alias("others"), F.max(F.when(F.col("class") == "archives", F.struct("path", "length"))).alias("a"))
+        .where("others = 2 AND a IS NOT NULL").select("a.path", "a.length")
+    )
 
 
 def parsed(files: DataFrame) -> DataFrame:

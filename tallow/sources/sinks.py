@@ -67,7 +67,12 @@ def write_json(df: DataFrame, out: BinaryIO) -> int:
 
 
 def parquet_batches(batches: Iterator[pa.RecordBatch], out, stamp: dict[bytes, bytes] | None = None) -> int:
-    """Candle batches to one file: Snappy, bounded row groups, the stamp and row count in the footer."""
+    """Candle batches to one file: Snappy, bounded row groups, the stamp and row count in the footer.
+
+    The same rows give the same bytes. A stamp names both the source's checksum and its file, or there is none.
+    """
+    if stamp is not None and not (stamp.get(STAMP_SHA) and stamp.get(STAMP_FILE)):
+        raise InvalidRequestError("a stamp needs the source's checksum and its file name")
     meta = {STAMP_CODEC: str(CODEC_VERSION).encode()} | (stamp or {})
     n = 0
     with pq.ParquetWriter(out, ARROW, compression="snappy", use_dictionary=False, store_schema=False, store_decimal_as_integer=False) as w:
@@ -132,6 +137,16 @@ def destination(out: str, name: str) -> Path | None:
     return path / name if out and path.is_dir() else path
 
 
+def check_destination(out: str, requests: int) -> None:
+    """Several requests need a file each: a directory that is there, or generated names in this one."""
+    if requests < 2 or not out:
+        return
+    if out == "-":
+        raise InvalidRequestError(f"{requests} requests can't share standard output: give a directory")
+    if not Path(out).is_dir():
+        raise InvalidRequestError(f"{out!r} must be an existing directory for {requests} requests")
+
+
 def publish(path: Path | str, write: Callable[[BinaryIO], int]) -> int:
     """Write beside the target, sync, rename: readers see the whole file or none, failures leave nothing."""
     path = Path(path)

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,38 +169,57 @@ class Removal:
     reason: str = ""
 
 
+def _in_tasks(df: DataFrame, one: Callable[[str, int], tuple[int, bool, str]]) -> list[Removal]:
+    """one(full, length) -> (freed, removed, reason) for every file, on the executors; rows of df have full and length."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, *one(p, n)) for p, n in zip(batch.column("full").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.bool_(), pa.string())], ["path", "freed", "removed", "reason"])
+
+    found = df.select("full", "length").repartition(df.sparkSession.sparkContext.defaultParallelism, "full").mapInArrow(run, "path string, freed long, removed boolean, reason string")
+    return sorted((Removal(r.path, r.freed, r.removed, r.reason) for r in found.collect()), key=lambda r: r.path)
+
+
+def _unlink(path: str, length: int) -> tuple[int, bool, str]:
+    try:
+        Path(path).unlink(missing_ok=True)  # a task that is run again finds it gone
+    except OSError as why:
+        return 0, False, str(why)
+    return length, True, ""
+
+
 def prune(spark: SparkSession, root: str, dry_run: bool = False) -> list[Removal]:
     """Delete archives whose Parquet file passes the gate; the others stay, with the reason."""
-    out = []
-    for r in files(spark, root).where(F.col("path").endswith(".zip")).orderBy("path").toLocalIterator():
-        path = Path(r.full)
+
+    def one(full: str, length: int) -> tuple[int, bool, str]:
+        path = Path(full)
         e = Entry(path.parent, path.name.removesuffix(".zip"))
         try:
             if not e.sidecar.exists():
                 raise CorruptArchiveError("it has no sidecar")
             gate(e.parquet, parse_checksum(e.sidecar.read_text(), e.zip.name), e.zip.name)
         except CorruptArchiveError as why:
-            out.append(Removal(r.full, 0, False, str(why)))
-            continue
-        if not dry_run:
-            path.unlink()
-        out.append(Removal(r.full, r.length, True))
-    return out
+            return 0, False, str(why)
+        return (length, True, "") if dry_run else _unlink(full, length)
+
+    return _in_tasks(files(spark, root).where(F.col("path").endswith(".zip")), one)
 
 
 def evict(spark: SparkSession, root: str, symbols=(), intervals=(), before=None, everything: bool = False, dry_run: bool = False) -> list[Removal]:
     """Delete entries by selectors (or all); foreign files stay, emptied folders go."""
     if bool(symbols or intervals or before is not None) == everything:
         raise InvalidRequestError("give selectors or everything, not both and not neither")
-    out = []
     chosen = inventory.selected(inventory.parsed(files(spark, root)), symbols, intervals, before)
-    for r in chosen.orderBy("symbol", "interval", "agg", "period", "path").toLocalIterator():
-        if not dry_run:
-            path = Path(r.full)
-            path.unlink(missing_ok=True)
-            for folder in path.parents:
-                if folder == Path(root).resolve() or any(folder.iterdir()):
-                    break
-                folder.rmdir()
-        out.append(Removal(r.full, r.length, True))
+    out = _in_tasks(chosen, lambda full, length: (length, True, "") if dry_run else _unlink(full, length))
+    top = Path(root).resolve()
+    for folder in sorted({p for r in out if not dry_run for p in Path(r.path).parents if top in p.parents}, reverse=True):
+        if folder.is_dir() and not any(folder.iterdir()):
+            folder.rmdir()
     return out
+
+
+def remove_failed(spark: SparkSession, root: str) -> list[Removal]:
+    """Delete archives that are damaged or without a sidecar, and their sidecars; their Parquet files stay valid."""
+    bad = verify(spark, root).where(inventory.removable(F.col("status"))).select(F.explode(F.array("full", F.concat("full", F.lit(".CHECKSUM")))).alias("full"))
+    return _in_tasks(bad.join(files(spark, root).select("full", "length"), "full"), _unlink)

@@ -345,3 +345,112 @@ def test_command_line(spark, tmp_path, fake, capsys, monkeypatch):
 
 def _with_clock(init):
     return lambda self, *a, **k: init(self, *a, **(k | {"clock": lambda: NOW}))
+
+
+def test_several_downloads_need_a_directory(tmp_path):
+    sinks.check_destination("", 5)
+    sinks.check_destination("x.csv", 1)
+    sinks.check_destination("-", 1)
+    sinks.check_destination(str(tmp_path), 2)
+    (tmp_path / "f.csv").write_text("kept")
+    for out in ("-", str(tmp_path / "missing"), str(tmp_path / "f.csv")):
+        with pytest.raises(InvalidRequestError):
+            sinks.check_destination(out, 2)
+
+
+def test_command_line_keeps_files_apart(spark, tmp_path, fake, capsys):
+    from tallow import cli
+
+    (tmp_path / "x.csv").write_text("kept")
+    up = Upstream(fake.archives(), fake.listings, fake.live)
+
+    def run(*args):
+        return cli.main(["--cache-dir", str(tmp_path / "cache"), "--quiet", "download", "--start", "2024-03-03", "--end", "2024-03-03T03:00:00Z", *args], spark, up)
+
+    for several in (("--symbol", "BTCUSDT,ETHUSDT", "--interval", "1h"), ("--symbol", "BTCUSDT", "--interval", "1h,2h")):
+        for out in (tmp_path / "x.csv", tmp_path / "new.csv"):
+            assert run(*several, "--out", str(out)) == 2
+    assert (tmp_path / "x.csv").read_text() == "kept" and not (tmp_path / "new.csv").exists()
+    (tmp_path / "out").mkdir()
+    assert run("--symbol", "BTCUSDT,ETHUSDT", "--interval", "1h", "--out", str(tmp_path / "out")) == 0
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    assert run("--symbol", "BTCUSDT", "--interval", "1h", "--out", str(tmp_path / "x.csv")) == 0
+    assert (tmp_path / "x.csv").read_text() != "kept"
+
+
+def test_verify_removes_what_is_damaged_and_nothing_else(spark, tmp_path, fake, capsys):
+    from tallow import cli
+
+    for d in (1, 2, 3, 4):
+        fake.publish(Kind.DAILY, day(2, d))
+    own = engine(spark, tmp_path, fake)
+    own.fetch(Request("BTCUSDT", HOUR, day(2, 1), day(2, 4, 23))).count()
+    e = [store.entry(str(tmp_path / "cache"), "BTCUSDT", HOUR, Kind.DAILY, day(2, d)) for d in (1, 2, 3, 4)]
+    e[1].zip.write_bytes(b"damaged")
+    e[2].sidecar.unlink()
+    e[3].sidecar.write_text("not a checksum")
+    assert Counter(r.status for r in own.verify_cache().collect()) == {"ok": 1, "mismatch": 1, "no sidecar": 1, "bad sidecar": 1}
+
+    def run(*args):
+        return cli.main(["--cache-dir", str(tmp_path / "cache"), "--quiet", "verify", *args], spark, Upstream(fake.archives(), fake.listings, fake.live))
+
+    assert run() == 1 and all(x.zip.exists() for x in e)
+    assert run("--rm") == 1
+    out = capsys.readouterr().out
+    assert f"removed {e[1].zip.name}" in out and f"removed {e[1].sidecar.name}" in out and f"removed {e[2].zip.name}" in out
+    assert [x.zip.exists() for x in e] == [True, False, False, True]
+    assert [x.sidecar.exists() for x in e] == [True, False, False, True]
+    assert all(x.parquet.exists() for x in e)
+
+
+def test_stamps_are_whole_and_bytes_reproducible(tmp_path):
+    rows = [wire(day(2, 1, h), i=h + 1) for h in range(24)]
+    spec = archive.Spec(HOUR, day(2, 1), day(2, 2))
+    body = zipped("BTCUSDT-1h-2024-02-01.zip", rows)
+
+    def write(path, stamp):
+        with open(path, "wb") as f:
+            sinks.parquet_batches(archive.decode_batches(body, spec), f, stamp)
+        return path.read_bytes()
+
+    whole = {sinks.STAMP_SHA: b"a" * 64, sinks.STAMP_FILE: b"x.zip"}
+    assert write(tmp_path / "a", whole) == write(tmp_path / "b", whole)
+    for bad in ({}, {sinks.STAMP_SHA: b"a" * 64}, {sinks.STAMP_FILE: b"x.zip"}, whole | {sinks.STAMP_SHA: b""}):
+        with pytest.raises(InvalidRequestError):
+            write(tmp_path / "c", bad)
+
+
+def test_quarantine_and_strict(spark):
+    from pyspark.sql import functions as F
+
+    from tallow.operators import series, validate
+
+    spec = archive.Spec(HOUR, day(2, 1), day(2, 2))
+    good = spark.createDataFrame([archive.decode_row(wire(day(2, 1, h), i=h + 1), spec) for h in range(5)], CANDLE_SCHEMA)
+    bad = good.limit(1).withColumn("high", F.lit(Decimal(0)).cast("decimal(38,8)")).unionByName(good.limit(1).withColumn("trades", F.lit(None).cast("long")))
+    kept, gone = validate.quarantine(good.unionByName(bad), HOUR, day(2, 1), day(2, 2))
+    assert series.same_rows(kept, good) and not series.same_rows(kept, good.limit(4))
+    assert sorted(r.reason for r in gone.collect()) == ["low above high", "missing or malformed field"]
+    assert validate.strict(good, HOUR).count() == 5
+    with pytest.raises(Exception, match="corrupt candle"):
+        validate.strict(good.unionByName(bad), HOUR).collect()
+
+
+def test_write_directory(spark, tmp_path):
+    from tallow.operators import series
+
+    spec = archive.Spec(HOUR, day(2, 1), day(2, 2))
+    df = spark.createDataFrame([archive.decode_row(wire(day(2, 1, h), i=h + 1), spec) for h in range(24)], CANDLE_SCHEMA)
+    sinks.write_directory(df, str(tmp_path / "out"))
+    assert series.same_rows(spark.read.schema(CANDLE_SCHEMA).parquet(str(tmp_path / "out")), df)
+
+
+def test_bytes_as_a_column(spark):
+    from pyspark.sql import functions as F
+
+    from tallow import report
+    from tallow.functions import text
+
+    sizes = [0, 1, 1023, 1024, 1536, 10**6, 852_500_000, 1 << 30, 3 << 40, 1 << 51]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", text.human_bytes(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in got} == {n: report.human_bytes(n) for n in sizes}
