@@ -83,13 +83,22 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
 
 
+def _busy(per: DataFrame) -> DataFrame:
+    """Periods (symbol, period, count) with at least the symbol's usual number of events; the others are holes."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("symbol")
+    return per.withColumns({"total": F.sum("count").over(own), "of": F.count("*").over(own)}).where("count * of >= total").select("symbol", "period")
+
+
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days with many events of a type, as published daily archives."""
-    per = _events(spark, sf_dir).groupBy(F.col("event_type").alias("symbol"), grid.day_start(F.col("ts")).alias("period"), F.col("user_id").alias("u")).count()
-    return per.where("u % 97 = 0").select("symbol", "period").distinct()
+    """Days with at least the usual number of events of a type, as published daily archives."""
+    return _busy(_events(spark, sf_dir).groupBy(F.col("event_type").alias("symbol"), grid.day_start(F.col("ts")).alias("period")).count())
 
 
-_DAYS = "SELECT DISTINCT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS period FROM events WHERE user_id % 97 = 0"
+_BUSY = """SELECT symbol, period FROM (SELECT event_type AS symbol, date_trunc('{unit}', ts)::TIMESTAMP AS period, count(*) AS n,
+  sum(count(*)) OVER (PARTITION BY event_type) AS total, count(*) OVER (PARTITION BY event_type) AS k FROM events GROUP BY 1, 2, event_type) WHERE n * k >= total"""
+_DAYS = _BUSY.format(unit="day")
 
 
 @query("SELECT * FROM ({candles})")
@@ -475,14 +484,14 @@ def expects_candles(spark, sf_dir):
     return own.select("event_id", grid.expects_candles(F.col("ts"), end, HOUR, F.lit(dt.datetime(2024, 1, 20, 10, 30, tzinfo=UTC))).alias("due"))
 
 
-@query("""WITH d AS (SELECT DISTINCT event_type AS symbol, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-03', INTERVAL 6 HOUR))::TIMESTAMP AS start FROM events),
-h AS (SELECT DISTINCT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS o FROM events WHERE user_id % 19 = 0)
-SELECT symbol, start, (start + INTERVAL 6 HOUR)::TIMESTAMP AS "end" FROM d
-WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.symbol = d.symbol AND h.o >= d.start AND h.o < d.start + INTERVAL 6 HOUR) AND start + INTERVAL 1 HOUR <= TIMESTAMP '2024-02-01 00:00:00'""")
+@query(f"""WITH d AS (SELECT DISTINCT event_type AS symbol, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-03', INTERVAL 3 HOUR))::TIMESTAMP AS start FROM events),
+h AS (SELECT symbol, period AS o FROM ({_BUSY.format(unit="hour")}))
+SELECT symbol, start, (start + INTERVAL 3 HOUR)::TIMESTAMP AS "end" FROM d
+WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.symbol = d.symbol AND h.o >= d.start AND h.o < d.start + INTERVAL 3 HOUR) AND start + INTERVAL 1 HOUR <= TIMESTAMP '2024-02-01 00:00:00'""")
 def empty_spans(spark, sf_dir):
     e = _events(spark, sf_dir)
-    spans = e.select(F.col("event_type").alias("symbol")).distinct().withColumn("start", F.explode(F.expr("sequence(timestamp'2024-01-01', timestamp'2024-02-03', INTERVAL 6 HOURS)"))).withColumn("end", F.col("start") + F.expr("INTERVAL 6 HOURS"))
-    candles = e.where("user_id % 19 = 0").select(F.col("event_type").alias("symbol"), grid.bucket(F.col("ts"), HOUR).alias("open_time")).distinct()
+    spans = e.select(F.col("event_type").alias("symbol")).distinct().withColumn("start", F.explode(F.expr("sequence(timestamp'2024-01-01', timestamp'2024-02-03', INTERVAL 3 HOURS)"))).withColumn("end", F.col("start") + F.expr("INTERVAL 3 HOURS"))
+    candles = _busy(e.groupBy(F.col("event_type").alias("symbol"), grid.bucket(F.col("ts"), HOUR).alias("period")).count()).withColumnRenamed("period", "open_time")
     return _plain(series.empty_spans(spans, candles, ["symbol"], HOUR, dt.datetime(2024, 2, 1, tzinfo=UTC)))
 
 

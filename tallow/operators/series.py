@@ -20,10 +20,18 @@ def strictly_increasing(df: DataFrame, group: list[str], order: list[str]) -> Da
     """Keep a candle only if it opens after every one before it, in the order of chunks and rows.
 
     Dropped rows never raise the running maximum, so this equals the sequential reduce; duplicates and late
-    candles go alike. One sort per group; groups spread over the cluster.
+    candles go alike. The first of `order` is the chunk: what a chunk must open after is the maximum of a row for each
+    earlier one, and only a chunk's own rows are sorted together, so one long series spreads over the cluster.
     """
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("latest", F.max("open_time").over(before)).where("latest IS NULL OR open_time > latest").drop("latest")
+    chunk, *inner = order
+    own = [*group, chunk]
+    earlier = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*own).agg(F.max("open_time").alias("top")).withColumn("reached", F.max("top").over(earlier))
+    tops = tops.select(*[F.col(c).alias(f"own_{c}") for c in own], "reached")
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in own]
+    before = Window.partitionBy(*own).orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
+    fresh = df.join(tops, same).where("reached IS NULL OR open_time > reached").withColumn("latest", F.max("open_time").over(before))
+    return fresh.where("latest IS NULL OR open_time > latest").select(*df.columns)
 
 
 def merge(parts: list[DataFrame]) -> DataFrame:
@@ -81,8 +89,13 @@ def coverage_violations(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def empty_spans(chunks: DataFrame, candles: DataFrame, keys: list[str], interval: Interval, now) -> DataFrame:
-    """Chunks without a candle where at least one is due. chunks: keys, start, end (half-open, already cut to the request)."""
-    counted = chunks.join(candles.select(*keys, "open_time"), keys, "left").groupBy(*keys, "start", "end").agg(F.count_if((F.col("open_time") >= F.col("start")) & (F.col("open_time") < F.col("end"))).alias("n"))
+    """Chunks without a candle where at least one is due. chunks: keys, start, end (half-open, already cut to the request).
+
+    Both sides meet by day, so a candle meets the chunks of its own day only.
+    """
+    day = F.explode(F.expr("if(start < end, sequence(date_trunc('day', start), date_trunc('day', end - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY), array(date_trunc('day', start)))"))
+    own = candles.select(*keys, "open_time", F.date_trunc("day", "open_time").alias("on"))
+    counted = chunks.select(*keys, "start", "end", day.alias("on")).join(own, [*keys, "on"], "left").groupBy(*keys, "start", "end").agg(F.count_if((F.col("open_time") >= F.col("start")) & (F.col("open_time") < F.col("end"))).alias("n"))
     return counted.where((F.col("n") == 0) & grid.expects_candles(F.col("start"), F.col("end"), interval, F.lit(now))).drop("n")
 
 

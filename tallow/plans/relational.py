@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def expand(requests: DataFrame) -> DataFrame:
-    """Chunks of requests (request_id, start, end half-open, through a midnight, has_daily): kind, start, end."""
-    own = requests.withColumn("edge", F.least("end", "through"))
-    month = F.explode(F.sequence(F.date_trunc("month", "start"), F.date_trunc("month", F.col("edge") - F.expr("INTERVAL 1 MICROSECOND")), F.expr("INTERVAL 1 MONTH")))
-    months = own.where(F.col("start") < F.col("edge")).withColumn("m", month).withColumn("m_end", F.col("m") + F.expr("INTERVAL 1 MONTH"))
-    whole = ~F.col("has_daily") | ((F.col("m") >= F.col("start")) & (F.col("m_end") <= F.col("edge")))
-    monthly = months.where(whole).select("request_id", F.lit("monthly").alias("kind"), F.col("m").alias("start"), F.col("m_end").alias("end"))
-    first, last = F.greatest("m", F.date_trunc("day", "start")), F.least("m_end", "edge")
-    day = F.explode(F.sequence(first, F.date_trunc("day", last - F.expr("INTERVAL 1 MICROSECOND")), F.expr("INTERVAL 1 DAY")))
-    daily = months.where(~whole).select("request_id", F.lit("daily").alias("kind"), day.alias("start")).withColumn("end", F.col("start") + F.expr("INTERVAL 1 DAY"))
-    archives = monthly.unionByName(daily)
-    reach = archives.groupBy("request_id").agg(F.max("end").alias("reach"))
-    tail = own.join(reach, "request_id", "left").withColumn("from", F.coalesce("reach", "start")).where(F.col("from") < F.col("end"))
-    return archives.unionByName(tail.select("request_id", F.lit("rest").alias("kind"), F.col("from").alias("start"), "end"))
+    """Chunks of requests (request_id, start, end half-open, through a midnight, has_daily): kind, start, end.
+
+    Each request's chunks follow from its own row, so nothing is shuffled.
+    """
+    day, month, tick = "INTERVAL 1 DAY", "INTERVAL 1 MONTH", "INTERVAL 1 MICROSECOND"
+    own = requests.withColumn("edge", F.least("end", "through")).withColumn("archived", F.coalesce(F.col("start") < F.col("edge"), F.lit(False)))
+    whole = f"(NOT has_daily OR (m >= start AND m + {month} <= edge))"
+    days = f"sequence(greatest(m, date_trunc('day', start)), date_trunc('day', least(m + {month}, edge) - {tick}), {day})"
+    chunk = "named_struct('kind', '{}', 'start', {}, 'end', {})"
+    of_month = f"if({whole}, array({chunk.format('monthly', 'm', f'm + {month}')}), transform({days}, d -> {chunk.format('daily', 'd', f'd + {day}')}))"
+    archives = F.expr(f"if(archived, flatten(transform(sequence(date_trunc('month', start), date_trunc('month', edge - {tick}), {month}), m -> {of_month})), array())")
+    reach = F.expr("if(size(archives) > 0, element_at(archives, -1).end, start)")
+    rest = F.expr(f"if(reach < end, array({chunk.format('rest', 'reach', 'end')}), array())")
+    found = own.withColumn("archives", archives).withColumn("reach", reach).select("request_id", F.explode(F.concat("archives", rest)).alias("c"))
+    return found.select("request_id", "c.kind", "c.start", "c.end")
 
 
 def consolidate(chunks: DataFrame, published_months: DataFrame, keys: list[str]) -> DataFrame:
-    """Unbroken daily runs of half a published month or more become monthly chunks."""
-    days = chunks.where("kind = 'daily'").withColumn("period", F.date_trunc("month", "start"))
-    runs = days.groupBy(*keys, "period").agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max("end").alias("b"))
-    unbroken = F.col("n") == F.datediff("b", "a")
-    half = F.col("n") * 2 >= F.datediff(F.col("period") + F.expr("INTERVAL 1 MONTH"), F.col("period"))
-    taken = runs.where(unbroken & half).join(published_months.select(*keys, "period").distinct(), [*keys, "period"], "left_semi").select(*keys, "period")
-    months = taken.select(*keys, F.lit("monthly").alias("kind"), F.col("period").alias("start"), (F.col("period") + F.expr("INTERVAL 1 MONTH")).alias("end"))
-    rest = days.join(taken, [*keys, "period"], "left_anti").select(*keys, "kind", "start", "end")
-    return chunks.where("kind <> 'daily'").select(*keys, "kind", "start", "end").unionByName(months).unionByName(rest)
+    """Unbroken daily runs of half a published month or more become monthly chunks.
+
+    One window by key and month tells a run; its first day then stands for the month, and the others go.
+    """
+    in_month = Window.partitionBy(*keys, "period")
+    days = chunks.where("kind = 'daily'").select(*keys, "kind", "start", "end", F.date_trunc("month", "start").alias("period"))
+    runs = days.withColumns({"n": F.count("*").over(in_month), "a": F.min("start").over(in_month), "b": F.max("end").over(in_month), "at": F.row_number().over(in_month.orderBy("start", "end"))})
+    month = published_months.select(*keys, "period").distinct().withColumn("published", F.lit(True))
+    whole = F.col("published").isNotNull() & (F.col("n") == F.datediff("b", "a")) & (F.col("n") * 2 >= F.datediff(F.col("period") + F.expr("INTERVAL 1 MONTH"), F.col("period")))
+    told = runs.join(month, [*keys, "period"], "left").withColumn("whole", whole).where(~F.col("whole") | (F.col("at") == 1))
+
+    def of_month(m: Column, d: str) -> Column:
+        return F.when(F.col("whole"), m).otherwise(F.col(d))
+
+    daily = told.select(*keys, of_month(F.lit("monthly"), "kind").alias("kind"), of_month(F.col("period"), "start").alias("start"), of_month(F.col("period") + F.expr("INTERVAL 1 MONTH"), "end").alias("end"))
+    return chunks.where("kind <> 'daily'").select(*keys, "kind", "start", "end").unionByName(daily)
 
 
 def missing_and_present(chunks: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
