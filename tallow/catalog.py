@@ -51,10 +51,14 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Query]:
+    from tallow import catalog_sources  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tallow import catalog_sources  # noqa: F401
+
     return dict(_SQL)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -160,12 +162,18 @@ class CandleEngine:
             raise NotAvailableError(f"{request.symbol} {request.interval}: {c} holds no candle of the request")
 
     def _checked(self, rows: DataFrame, spans: list, request: Request, now: dt.datetime) -> tuple[DataFrame, dict[int, int]]:
-        """Live rows and their number by span, after an error for a span that should have some and has none. They are kept: the source is asked once."""
-        rows = rows.persist()
+        """Live rows and their number by span, after an error for a span that should have some and has none.
+
+        They are written below the store first: the source is asked once, and a lost executor doesn't ask it again.
+        """
+        path = f"{Path(self.root).resolve()}/.live/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        rows = self.spark.read.schema(rows.schema).parquet(path)
         counts = {r.span: r["count"] for r in rows.groupBy("span").count().collect()}
         for i, (a, b) in enumerate(spans):
             if not counts.get(i) and planned(a, b, request.interval, now):
-                rows.unpersist()
                 raise NotAvailableError(f"{request.symbol} {request.interval}: no live candle in [{a}, {b})")
         return rows, counts
 

@@ -50,8 +50,8 @@ def archive_period(name: Column, symbol: Column, interval: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1024-based, one decimal from KB up."""
+    """1024-based, one decimal from KB up, halves to the even digit."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power))
-    return out.otherwise(F.format_string("%.1f TB", n / 1024.0**4))
+        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1)))

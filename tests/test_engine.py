@@ -451,6 +451,6 @@ def test_bytes_as_a_column(spark):
     from tallow import report
     from tallow.functions import text
 
-    sizes = [0, 1, 1023, 1024, 1536, 10**6, 852_500_000, 1 << 30, 3 << 40, 1 << 51]
+    sizes = [0, 1, 1023, 1024, 1280, 1536, 1792, 10**6, 852_500_000, 1 << 30, 3 << 40, 1 << 51]
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", text.human_bytes(F.col("n")).alias("t")).collect()
     assert {r.n: r.t for r in got} == {n: report.human_bytes(n) for n in sizes}
