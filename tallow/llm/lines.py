@@ -2,52 +2,58 @@
 
 Every line becomes a template: runs of blanks become one space, and tokens with a digit or an @ become <*>.
 The tree has a fixed depth: the root splits by the number of tokens, the next levels by the leading LEAD
-tokens of the template; a leaf holds the templates that agree in these. A template recurs if it stands in
-min_docs different documents. A leaf whose templates don't recur one by one is generalised: the tokens
-behind the lead are cut into SEGMENTS stretches, those that differ between its lines are variable fields, and
-if at most VARIABLE of them do, the leaf is one template, which may recur as such. Lines of recurring templates
-are dropped wherever they stand.
+tokens of the template; a leaf holds the templates that agree in these. Inside a leaf, templates are grouped by
+what they agree in behind the lead: those with the same first half of it differ in the second, those with the
+same second half in the first. Such a group is one template with a variable field, and a line has both its groups;
+a line too short to have halves is a template as it is, and so is a paragraph, whose small changes are edits and not
+fields. A template recurs if it stands in min_docs different
+documents, and lines of recurring templates are dropped wherever they stand. A line that differs in both halves
+makes other groups and changes nothing for this one.
 
 Copies of a document shall not count as different documents, or near-duplicates would lose their text here.
-So a line's document is known by its longest other template, and recurrence counts those; they must also be
-min_share of the documents with the line.
+So a line's document is known by its longest other line, and recurrence counts those, over all lines of the
+template; they must also be min_share of its lines.
 
 Edge cases: a null text stays null, an empty one empty; lines of fewer than min_tokens tokens stay; repeated
-rows count once and each give a row; all other columns pass through; an empty table gives an empty result.
+rows count once and each give a row; of a text's longest lines the greatest in byte order counts; all other columns
+pass through, but the table's own n_lines and n_dropped give way to the new ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import cut
+from tallow.llm.common import cut, semi_join
 
 MIN_DOCS = 5
 MIN_SHARE = 0.2
 MIN_TOKENS = 3
 LEAD = 3
-SEGMENTS, VARIABLE = 4, 1
-#: Fewest tokens of a line whose leaf may be generalised.
-GENERAL_TOKENS = 8
+#: Fewest tokens of a line that has two halves behind the lead, and most tokens of a line that may have fields.
+GENERAL_TOKENS, MOST_TOKENS = LEAD + 2, 32
+#: Recurring templates, 8 bytes each, that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 500_000
 
 #: Working columns beside the table's own.
-KEY, GONE = "tallow_text_key", "tallow_gone_lines"
+KEY, GONE = "tallow_key_of_text", "tallow_gone_lines"
 
 _TEMPLATE = r"regexp_replace(trim(regexp_replace(l, '[ \\t\\r\\x0B\\f]+', ' ')), '(?<![^ ])[^ 0-9@]*[0-9@][^ ]*', '<*>')"
 
 
+def _text_key(column: str) -> Column:
+    return F.unhex(F.md5(F.col(column).cast("binary")))
+
+
 def templates(docs: DataFrame, column: str = "text") -> DataFrame:
-    """One row per distinct text: text_key, its lines' hashes in order, and hashes of its two longest templates."""
-    texts = docs.select(F.col(column).alias("text")).where("text IS NOT NULL AND text <> ''")
-    parts = texts.select(F.md5(F.col("text").cast("binary")).alias("text_key"), F.expr(f"transform(split(text, '\\n', -1), l -> {_TEMPLATE})").alias("t"))
-    tokens = "split(x, ' ')"
-    stretch = f"cast(ceil((size(w) - {LEAD}) / {SEGMENTS}.0) as int)"
-    segments = ", ".join(f"hash(slice(w, {LEAD + 1} + {k} * {stretch}, {stretch})) AS s{k}" for k in range(SEGMENTS))
-    line = f"""transform(t, x -> transform(array({tokens}), w -> named_struct(
-        'template', xxhash64(x), 'n', size(w),
-        'leaf', if(size(w) >= {GENERAL_TOKENS}, xxhash64(size(w), slice(w, 1, {LEAD})), cast(null as bigint)),
-        'parts', if(size(w) >= {GENERAL_TOKENS}, struct({segments}), null)))[0])"""
+    """One row per distinct text: text_key, its lines in order (hash, n tokens, hashes of their templates), and hashes of its two longest."""
+    texts = docs.select(F.col(f"`{column}`").alias("text")).where("text IS NOT NULL AND text <> ''")
+    parts = texts.select(_text_key("text").alias("text_key"), F.expr(f"transform(split(text, '\\n', -1), l -> {_TEMPLATE})").alias("t"))
+    half = f"cast(ceil((size(w) - {LEAD}) / 2.0) as int)"
+    first = f"xxhash64('first', size(w), slice(w, 1, {LEAD} + {half}))"
+    second = f"xxhash64('second', size(w), slice(w, 1, {LEAD}), slice(w, {LEAD + 1} + {half}, size(w)))"
+    line = f"""transform(t, x -> transform(array(split(x, ' ')), w -> named_struct(
+        'line', xxhash64(x), 'n', size(w), 'keys', if(size(w) between {GENERAL_TOKENS} and {MOST_TOKENS}, array({first}, {second}), array(xxhash64(x)))))[0])"""
     longest = "array_max(transform({}, x -> struct(length(x) AS n, x AS x))).x"
     return (
         parts.withColumn("first", F.expr(longest.format("filter(t, x -> x <> '')")))
@@ -57,42 +63,33 @@ def templates(docs: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
-def recurring(parsed: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Hashes of templates that recur, and of leaves that recur as one template."""
+def recurring(parsed: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """key (of a template) and n (lines) of the templates that recur."""
     each = (
         parsed.select("first", "second", F.explode(F.array_distinct("lines")).alias("l"))
         .where(F.col("l.n") >= min_tokens)
-        .select("l.template", "l.leaf", "l.parts", F.expr("if(l.template = first, second, first)").alias("other"))
-    )
-    many = (F.col("n_others") >= min_docs) & (F.col("n_others") >= min_share * F.col("n_docs"))
-    by_template = (
-        each.groupBy("template", "leaf", "parts", "other").agg(F.count("*").alias("n"))
-        .groupBy("template", "leaf", "parts").agg(F.sum("n").alias("n_docs"), F.count("other").alias("n_others"))
-    )
-    found = by_template.where(many).select("template")
-    varied = [F.expr(f"cast(min(parts.s{k}) <> max(parts.s{k}) as int)") for k in range(SEGMENTS)]
-    leaves = (
-        by_template.where(F.col("leaf").isNotNull() & ~many)
-        .groupBy("leaf")
-        .agg(F.count("*").alias("n_templates"), F.sum("n_docs").alias("n_docs"), F.sum("n_others").alias("n_others"), sum(varied[1:], varied[0]).alias("n_varied"))
-        .where(many & (F.col("n_templates") > 1) & (F.col("n_varied") <= VARIABLE))
-        .select("leaf")
+        .select(F.explode("l.keys").alias("key"), F.expr("if(l.line = first, second, first)").alias("other"))
     )
-    return found, leaves
+    # a common line is counted in every task before anything moves
+    counted = each.groupBy("key", "other").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("other").alias("n_others"))
+    return counted.where((F.col("n_others") >= min_docs) & (F.col("n_others") >= min_share * F.col("n"))).select("key", "n")
 
 
 def drop_recurring(docs: DataFrame, column: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with the lines of recurring templates taken out of `column`, and n_lines and n_dropped (int)."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     parsed = cut(templates(docs, column), "templates")
-    found, leaves = recurring(parsed, min_docs, min_share, min_tokens)
-    lines = parsed.select("text_key", F.posexplode("lines").alias("at", "l")).where(F.col("l.n") >= min_tokens).select("text_key", "at", "l.template", "l.leaf")
-    gone = (
-        lines.join(found, "template", "left_semi").select("text_key", "at")
-        .unionByName(lines.where("leaf IS NOT NULL").join(leaves, "leaf", "left_semi").select("text_key", "at"))
-        .groupBy("text_key").agg(F.collect_set("at").alias(GONE)).withColumnRenamed("text_key", KEY)
-    )
-    own = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(KEY, F.md5(F.col(column).cast("binary")))
+    found = cut(recurring(parsed, min_docs, min_share, min_tokens), "recurring")
+    lines = parsed.select("text_key", F.posexplode("lines").alias("at", "l")).where(F.col("l.n") >= min_tokens).select("text_key", "at", F.explode("l.keys").alias("key"))
+    if found.count() <= BROADCAST:
+        gone = lines.join(F.broadcast(found.select("key")), "key", "left_semi")
+    else:
+        gone = semi_join(lines, found, "key", lines.count())
+    gone = gone.groupBy("text_key").agg(F.collect_set("at").alias(GONE)).withColumnRenamed("text_key", KEY)
+    # texts without lines have keys of their own, longer than any text's, that spread them
+    alone = F.concat(F.lit("text without lines ").cast("binary"), F.monotonically_increasing_id().cast("string").cast("binary"))
+    key = F.when(F.coalesce(F.col(f"`{column}`"), F.lit("")) == "", alone).otherwise(_text_key(f"`{column}`"))
+    own = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(KEY, key)
     # a text's lines to drop are few small rows; hashing them spares a sort of the texts
     joined = own.join(gone.hint("shuffle_hash"), KEY, "left")
     parts = f"split(`{column}`, '\\n', -1)"

@@ -35,29 +35,21 @@ line AS (
   SELECT text, ln, array_to_string(list_transform(string_split(trim(regexp_replace(l, '[ \t\r\x0B\f]+', ' ', 'g')), ' '),
     lambda w: CASE WHEN regexp_matches(w, '[0-9@]') THEN '<*>' ELSE w END), ' ') AS x
   FROM raw
-), d AS (SELECT DISTINCT text, x FROM line),
-one AS (SELECT text, arg_max(x, {'n': length(x), 'x': x}) AS first FROM d WHERE x <> '' GROUP BY text),
-two AS (SELECT d.text, arg_max(x, {'n': length(x), 'x': x}) AS second FROM d JOIN one USING (text) WHERE x <> '' AND x <> first GROUP BY d.text),
-each AS (
-  SELECT x, string_split(x, ' ') AS w, CASE WHEN x = first THEN second ELSE first END AS other
-  FROM d LEFT JOIN one USING (text) LEFT JOIN two USING (text) WHERE len(string_split(x, ' ')) >= 3
-), t AS (SELECT x, w, count(*) AS n_docs, count(DISTINCT other) AS n_others FROM each GROUP BY x, w),
-many AS (SELECT x FROM t WHERE n_others >= 5 AND n_others >= 0.2 * n_docs),
-rest AS (
-  SELECT len(w) AS n, array_to_string(w[1:3], ' ') AS lead, n_docs, n_others, ceil((len(w) - 3) / 4.0)::BIGINT AS k, w
-  FROM t WHERE len(w) >= 8 AND x NOT IN (SELECT x FROM many)
-), part AS (
-  SELECT n, lead, n_docs, n_others, array_to_string(w[4:3 + k], ' ') AS a, array_to_string(w[4 + k:3 + 2 * k], ' ') AS b,
-    array_to_string(w[4 + 2 * k:3 + 3 * k], ' ') AS c, array_to_string(w[4 + 3 * k:3 + 4 * k], ' ') AS e
-  FROM rest
-), leaf AS (
-  SELECT n, lead FROM part GROUP BY n, lead
-  HAVING sum(n_others) >= 5 AND sum(n_others) >= 0.2 * sum(n_docs) AND count(*) > 1
-    AND (min(a) <> max(a))::INT + (min(b) <> max(b))::INT + (min(c) <> max(c))::INT + (min(e) <> max(e))::INT <= 1
-), gone AS (
-  SELECT text, ln FROM (SELECT text, ln, x, string_split(x, ' ') AS w FROM line) WHERE len(w) >= 3 AND (
-    x IN (SELECT x FROM many) OR (len(w) >= 8 AND (len(w), array_to_string(w[1:3], ' ')) IN (SELECT (n, lead) FROM leaf)))
-), left_over AS (
+), d AS (SELECT DISTINCT text, x, string_split(x, ' ') AS w FROM line),
+ranked AS (SELECT text, x, row_number() OVER (PARTITION BY text ORDER BY length(x) DESC, x DESC) AS r FROM d WHERE x <> ''),
+-- a template is a line, or what a line of 5 to 32 words says outside of one half of what follows its lead
+says AS (
+  SELECT text, x, unnest(CASE WHEN len(w) BETWEEN 5 AND 32 THEN [
+    {'n': len(w), 'lead': w[1:3], 'one': w[4:3 + (len(w) - 2) // 2], 'two': NULL}, {'n': len(w), 'lead': w[1:3], 'one': NULL, 'two': w[4 + (len(w) - 2) // 2:]}
+    ] ELSE [{'n': len(w), 'lead': w, 'one': NULL, 'two': NULL}] END) AS template
+  FROM d WHERE len(w) >= 3
+), many AS (
+  SELECT template FROM says s LEFT JOIN ranked o ON o.text = s.text AND o.x <> s.x AND o.r <= 2
+    AND o.r = (SELECT min(p.r) FROM ranked p WHERE p.text = s.text AND p.x <> s.x AND p.r <= 2)
+  GROUP BY template HAVING count(DISTINCT o.x) >= 5 AND count(DISTINCT o.x) >= 0.2 * count(*)
+), drops AS (SELECT DISTINCT text, x FROM says WHERE template IN (SELECT template FROM many)),
+gone AS (SELECT text, ln FROM line SEMI JOIN drops USING (text, x)),
+left_over AS (
   SELECT text, string_agg(l, chr(10) ORDER BY ln) AS kept FROM raw WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.text = raw.text AND g.ln = raw.ln) GROUP BY text
 ), n AS (SELECT text, count(*) AS n_dropped FROM gone GROUP BY text)
 SELECT doc_id, CASE WHEN n_dropped IS NULL THEN d.text ELSE coalesce(kept, '') END AS text, lang, source, n_chars,
