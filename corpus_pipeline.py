@@ -3,8 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
 columns of `documents`. Where a stage changes the text, n_chars follows it.
 
-Rows with a null doc_id can't be told apart by a join and so are never dropped as near duplicates; repeated rows of
-one doc_id and text count as one document there.
+Rows with a null doc_id can't be told apart by a join: of equal texts among them one stays, but they are not dropped
+as near duplicates of others. Repeated rows of one doc_id and text count as one document there.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.where("doc_id IS NOT NULL").join(stays.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    nameless = docs.where("doc_id IS NULL")
+    wordless = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == ""
+    return kept.unionByName(nameless.where(wordless)).unionByName(nameless.where(~wordless).dropDuplicates(["text"]))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
