@@ -2,16 +2,16 @@
 
 `decode` reads any lossless still image: prefix codes, back-references, colour cache, meta prefix groups,
 and the predictor, cross-colour, subtract-green and palette transforms, undone in reverse order.
-`decode_grey` does the same for many images at once when each has a single prefix group with one-symbol
-red, blue, alpha and distance codes: one lane an image, all lanes stepping together in numpy. Images
-outside that profile go through `decode`.
-`encode_grey` writes 8-bit samples as grey images, with the palette transform for up to 16 values and
-subtract-green otherwise, canonical prefix codes and back-references over runs.
+`encode_grey` writes 8-bit samples as grey images: the palette transform for up to 16 values, else subtract-green,
+after the predictor transform where that makes the file smaller; back-references at any distance, near ones by their
+place in the plane; canonical prefix codes. Grey samples leave nothing to cross-colour once green is subtracted, nor to
+a colour cache, whose codes would cost what a literal costs: the writer uses neither, the reader takes both.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 
@@ -27,9 +27,10 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 #: Near offsets (dx, dy) by code: closest first, then by |dx|, right before left.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
-#: Longest green code that a lane's lookup table holds.
-LANE_BITS = 12
-_LANE_REVERSED = np.array([int(f"{i:0{LANE_BITS}b}"[::-1], 2) for i in range(1 << LANE_BITS)])
+#: Longest green code that the writer makes, and the shortest copy.
+GREEN_BITS, SHORTEST = 12, 8
+#: Fewest samples that a predictor is tried on: below, there is little to save.
+TRIED = 256
 ROW = 64
 #: Samples of one image: longer payloads become several images.
 TILE = ROW * 256
@@ -43,8 +44,7 @@ class Bits:
     """Little-endian bit reader over bytes."""
 
     def __init__(self, data: bytes, pos: int = 0):
-        self.value, self.pos, self.size = int.from_bytes(data, "little"), pos, len(data) * 8
-        self.data = data
+        self.data, self.pos, self.size = data, pos, len(data) * 8
 
     def read(self, n: int) -> int:
         if not n:
@@ -100,6 +100,15 @@ def code_lengths(counts: dict[int, int], limit: int) -> dict[int, int]:
         least = least * 2 if least > 1 else max(2, sum(counts.values()) >> limit)
 
 
+@lru_cache(maxsize=16)
+def _reversed(n: int) -> np.ndarray:
+    """All numbers of n bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
 class Prefix:
     """Decoder of one prefix code."""
 
@@ -119,23 +128,26 @@ class Prefix:
             if kraft != 1 << self.bits:
                 raise BadImage("a prefix code is not complete")
 
-    def build(self) -> None:
-        table: list = [None] * (1 << self.bits)
-        for s, (code, n) in canonical(self.lengths).items():
-            for i in range(code, 1 << self.bits, 1 << n):
-                table[i] = (s, n)
-        self.table = table
+    def lut(self) -> np.ndarray:
+        """By the next `bits` bits: symbol << 4 | length."""
+        if self.lone is not None:
+            return np.array([self.lone << 4])
+        lengths = np.array(self.lengths)
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        n = lengths[order]
+        return np.repeat(order << 4 | n, 1 << (self.bits - n))[_reversed(self.bits)]
 
     def read(self, bits: Bits) -> int:
         if self.lone is not None:
             return self.lone
         if self.table is None:
-            self.build()
-        s, n = self.table[bits.peek() & ((1 << self.bits) - 1)]
-        bits.pos += n
+            self.table = self.lut().tolist()
+        found = self.table[bits.peek() & ((1 << self.bits) - 1)]
+        bits.pos += found & 15
         if bits.pos > bits.size:
             raise BadImage("the image ends early")
-        return s
+        return found >> 4
 
 
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
@@ -205,6 +217,96 @@ def _ceil(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
+def _back(code: int, width: int) -> int:
+    """How many pixels back a distance code points."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    dx, dy = NEAR[code - 1]
+    return max(1, dx + dy * width)
+
+
+@lru_cache(maxsize=64)
+def _near_backs(width: int) -> np.ndarray:
+    return np.array([_back(code, width) for code in range(1, len(NEAR) + 1)])
+
+
+#: By length or distance symbol: the least value and the number of extra bits.
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(DISTANCE_CODES)])
+_LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(DISTANCE_CODES)])
+#: Bits of the longest token: length and distance with their extra bits.
+_LONGEST = 15 + 10 + 15 + 18
+
+
+def _green_only(bits: Bits, width: int, n: int, green: Prefix, distance: Prefix) -> np.ndarray:
+    """Green of n pixels whose other components are the same everywhere and take no bits.
+
+    The token that would begin at each bit is read for all bits at once; the tokens that are meant are then the chain
+    from the first bit, which is followed in steps of 16.
+    """
+    if green.lone is not None:
+        if green.lone >= LITERALS:
+            raise BadImage("a back-reference points outside the image")
+        return np.full(n, green.lone, np.uint8)
+    base = bits.pos & ~7
+    raw = np.frombuffer(bits.data[base >> 3 : (base >> 3) + n * _LONGEST // 8 + 8] + bytes(16), np.uint8).astype(np.int64)
+    m = len(raw) - 8
+    words = raw[:m] | raw[1 : m + 1] << 8 | raw[2 : m + 2] << 16 | raw[3 : m + 3] << 24 | raw[4 : m + 4] << 32
+    window = (words[:, None] >> np.arange(8)).ravel()
+    stop = len(window) - 1
+    found = green.lut()[window & ((1 << green.bits) - 1)]
+    symbol, step = found >> 4, found & 15
+    copies = np.flatnonzero(symbol >= LITERALS)
+    kind = symbol[copies] - LITERALS
+    at = copies + step[copies]
+    length = _LEAST[kind] + (window[np.minimum(at, stop)] & ((1 << _EXTRA[kind]) - 1))
+    at += _EXTRA[kind]
+    far = distance.lut()[window[np.minimum(at, stop)] & ((1 << distance.bits) - 1)]
+    at += far & 15
+    far >>= 4
+    code = _LEAST[far] + (window[np.minimum(at, stop)] & ((1 << _EXTRA[far]) - 1))
+    step[copies] = at + _EXTRA[far] - copies
+    jump = [np.minimum(np.arange(stop + 1) + step, stop)]
+    jump[0][stop] = stop
+    for _ in range(4):
+        jump.append(jump[-1][jump[-1]])
+    seen, a, leap = [], bits.pos - base, jump[4]
+    while a < stop and len(seen) * 16 < n:
+        seen.append(a)
+        a = int(leap[a])
+    token = np.array(seen, np.int64)
+    for j in (3, 2, 1, 0):
+        token = np.stack([token, jump[j][token]], axis=-1).ravel()
+    token = token[token < stop]
+    own = symbol[token]
+    copied = own >= LITERALS
+    which = np.searchsorted(copies, token[copied])
+    size = np.ones(len(token), np.int64)
+    size[copied] = length[which]
+    end = np.cumsum(size)
+    last = int(np.searchsorted(end, n))
+    if last == len(end):
+        raise BadImage("the image ends early")
+    bits.pos = base + int(token[last] + step[token[last]])
+    if bits.pos > bits.size:
+        raise BadImage("the image ends early")
+    if end[last] != n:
+        raise BadImage("a back-reference points outside the image")
+    begin, copied = (end - size)[: last + 1], copied[: last + 1]
+    out = np.zeros(n, np.uint8)
+    out[begin[~copied]] = own[: last + 1][~copied]
+    begin = begin[copied]
+    which = which[: len(begin)]
+    near = _near_backs(width)
+    code = code[which]
+    back = np.where(code > len(NEAR), code - len(NEAR), near[np.minimum(code, len(NEAR)) - 1])
+    if (back > begin).any():
+        raise BadImage("a back-reference points outside the image")
+    filled = bytearray(out.tobytes())
+    for p, k, d in zip(begin.tolist(), length[which].tolist(), back.tolist(), strict=True):
+        filled[p : p + k] = filled[p - d : p - d + k] if d >= k else (filled[p - d : p] * (k // d + 1))[:k]
+    return np.frombuffer(filled, np.uint8)
+
+
 def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -216,6 +318,10 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
         groups_of = ((meta >> 8) & 0xFFFF).reshape(_ceil(height, tile), _ceil(width, tile))
     groups = [read_group(bits, cache_bits) for _ in range(int(groups_of.max()) + 1 if groups_of is not None else 1)]
     n = width * height
+    g, r, b, a, d = groups[0]
+    if groups_of is None and not cache_bits and None not in (r.lone, b.lone, a.lone):
+        rest = np.uint32(a.lone << 24 | r.lone << 16 | b.lone)
+        return _green_only(bits, width, n, g, d).astype(np.uint32) << 8 | rest
     out = [0] * n
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift = 32 - cache_bits
@@ -230,12 +336,7 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
             i += 1
         elif s < LITERALS + LENGTH_CODES:
             length = read_value(bits, s - LITERALS)
-            code = read_value(bits, d.read(bits))
-            if code > len(NEAR):
-                back = code - len(NEAR)
-            else:
-                dx, dy = NEAR[code - 1]
-                back = max(1, dx + dy * width)
+            back = _back(read_value(bits, d.read(bits)), width)
             if back > i or i + length > n:
                 raise BadImage("a back-reference points outside the image")
             for k in range(i, i + length):
@@ -304,6 +405,13 @@ def predict(mode: int, left, top, right, corner) -> list[int]:
 
 def walk_predictions(residual: np.ndarray, modes: np.ndarray, size: int, width: int, height: int, forward: bool) -> np.ndarray:
     """Undo (or, with forward, apply) the predictor transform; pixels are flat rows of four components."""
+    mode = int(modes.flat[0])
+    if not forward and mode in (1, 2) and (modes == mode).all():
+        c = residual.reshape(height, width, 4).astype(np.int64)
+        c[0, 0, 0] += 255
+        across, down = (slice(None), 0) if mode == 1 else (0, slice(None)), 0 if mode == 1 else 1
+        c[across] = np.cumsum(c[across], axis=0)  # the edge that the other neighbour predicts
+        return (np.cumsum(c, axis=1 - down) & 255).reshape(-1, 4).astype(np.int32)
     src = residual.tolist()
     done = src if forward else [None] * len(src)
     out: list = [None] * len(src)
@@ -421,97 +529,9 @@ def decode(chunk: bytes) -> np.ndarray:
     return _undo(pixels, steps, height).reshape(height, width)
 
 
-def _lane(chunk: bytes):
-    """What a lane needs, or None if the image isn't of the lanes' profile."""
-    bits, width, height = _read_start(chunk)
-    steps, coded = _read_transforms(bits, width, height)
-    if any(k not in (SUBTRACT_GREEN, PALETTE) for k, *_ in steps) or bits.read(1) or bits.read(1):
-        return None
-    g, r, b, a, d = read_group(bits, 0)
-    if g.bits > LANE_BITS or None in (r.lone, b.lone, a.lone, d.lone) or d.lone > 3 or coded < 8:
-        return None
-    back = NEAR[d.lone][0] + NEAR[d.lone][1] * coded
-    return bits.pos, steps, coded, width, height, g, (r.lone, b.lone, a.lone), back
-
-
-def _lane_table(code: Prefix) -> np.ndarray:
-    """By the next LANE_BITS bits: symbol << 4 | length."""
-    if code.lone is not None:
-        return np.full(1 << LANE_BITS, code.lone << 4, dtype=np.int32)
-    lengths = np.array(code.lengths)
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    order = order[lengths[order] > 0]
-    n = lengths[order]
-    by_code = np.repeat((order << 4 | n).astype(np.int32), 1 << (LANE_BITS - n))
-    return by_code[_LANE_REVERSED]
-
-
 def decode_grey(chunks: list[bytes]) -> list[np.ndarray]:
     """Green samples of each VP8L chunk, flat, row by row."""
-    out: list = [None] * len(chunks)
-    lanes = []
-    for i, chunk in enumerate(chunks):
-        found = _lane(chunk)
-        if found is None:
-            out[i] = (decode(chunk).ravel() >> 8 & 0xFF).astype(np.uint8)
-        else:
-            lanes.append((i, found))
-    if not lanes:
-        return out
-    lanes.sort(key=lambda x: -x[1][2] * x[1][4])
-    every = 64
-    starts, total = [], 0
-    for i, _ in lanes:
-        starts.append(total)
-        total += len(chunks[i])
-    raw = np.frombuffer(b"".join(chunks[i] for i, _ in lanes) + bytes(256), np.uint8).astype(np.uint32)
-    words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    at = np.array([s * 8 + f[0] for s, (_, f) in zip(starts, lanes, strict=True)], dtype=np.int64)
-    sizes = np.array([f[2] * f[4] for _, f in lanes], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes + every)[:-1]])
-    pos, ends = first.copy(), first + sizes
-    samples = np.zeros(int(first[-1] + sizes[-1] + every), dtype=np.uint8)
-    tables = np.concatenate([_lane_table(f[5]) for _, f in lanes])
-    base = np.arange(len(lanes), dtype=np.int64) << LANE_BITS
-    live = np.arange(len(lanes))
-    mask = np.uint32((1 << LANE_BITS) - 1)
-    last_word = len(words) - 1
-    while len(live):
-        a, p, e, t = at[live], pos[live], ends[live], base[live]
-        for _ in range(every):
-            found = tables[t + ((words[np.minimum(a >> 3, last_word)] >> (a & 7).astype(np.uint32)) & mask)]
-            a += found & 15
-            symbol = found >> 4
-            samples[p] = symbol
-            p += 1
-            runs = np.flatnonzero(symbol >= LITERALS)
-            if not len(runs):
-                continue
-            for k in runs.tolist():
-                p[k] -= 1
-                if p[k] >= e[k]:  # a finished lane reads on into other bits
-                    continue
-                bits = Bits(raw[int(a[k]) >> 3 : (int(a[k]) >> 3) + 8].astype(np.uint8).tobytes(), int(a[k]) & 7)
-                was = bits.pos
-                n = read_value(bits, int(symbol[k]) - LITERALS)
-                a[k] += bits.pos - was
-                back = lanes[live[k]][1][7]
-                q, lane_start = int(p[k]), int(first[live[k]])
-                if back < 1 or q - back < lane_start or q + n > e[k]:
-                    raise BadImage("a back-reference points outside the image")
-                samples[q : q + n] = np.resize(samples[q - back : q], n)
-                p[k] += n
-            np.minimum(p, e + 1, out=p)
-        at[live], pos[live] = a, np.minimum(p, e)
-        live = live[p < e]
-    for j, (i, (_, steps, coded, width, height, _, (red, blue, alpha), _)) in enumerate(lanes):
-        own = samples[first[j] : first[j] + sizes[j]]
-        if steps == [(SUBTRACT_GREEN, 0, None, width)]:
-            out[i] = own  # green stays as it is
-            continue
-        pixels = _undo(own.astype(np.uint32) << 8 | np.uint32(alpha << 24 | red << 16 | blue), steps, height)
-        out[i] = (pixels >> 8 & 0xFF).astype(np.uint8)
-    return out
+    return [(decode(c).ravel() >> 8 & 0xFF).astype(np.uint8) for c in chunks]
 
 
 # -- writer ------------------------------------------------------------------------------------------
@@ -542,22 +562,18 @@ def put_prefix(out: BitsOut, lengths: dict[int, int], alphabet: int) -> dict[int
             out.put(s, 8)
         return {used[0]: (0, 0)} if len(used) == 1 else {used[0]: (0, 1), used[1]: (1, 1)}
     out.put(0, 1)
-    row = [lengths.get(s, 0) for s in range(alphabet)]
     runs: list[tuple[int, int, int]] = []  # symbol, extra, its bits
-    i = 0
-    while i < alphabet:
-        if row[i]:
-            runs.append((row[i], 0, 0))
-            i += 1
-            continue
-        n = 1
-        while n < 138 and i + n < alphabet and not row[i + n]:
-            n += 1
-        if n < 3:
-            runs += [(0, 0, 0)] * n
-        else:
+    next_one = 0
+    for s in [*used, alphabet]:
+        zeros = s - next_one
+        while zeros >= 3:
+            n = min(zeros, 138)
             runs.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
-        i += n
+            zeros -= n
+        runs += [(0, 0, 0)] * zeros
+        if s < alphabet:
+            runs.append((lengths[s], 0, 0))
+        next_one = s + 1
     counts: dict[int, int] = {}
     for s, _, _ in runs:
         counts[s] = counts.get(s, 0) + 1
@@ -573,7 +589,7 @@ def put_prefix(out: BitsOut, lengths: dict[int, int], alphabet: int) -> dict[int
         if len(own) > 1:
             out.put(*codes[s])
         out.put(extra, n)
-    return canonical(row) if len(used) > 1 else {used[0]: (0, 0)}
+    return canonical([lengths.get(s, 0) for s in range(used[-1] + 1)]) if len(used) > 1 else {used[0]: (0, 0)}
 
 
 def riff(vp8l: bytes) -> bytes:
@@ -581,92 +597,185 @@ def riff(vp8l: bytes) -> bytes:
     return b"RIFF" + len(body).to_bytes(4, "little") + body
 
 
-def _grey_tokens(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, extra bits and their number: literals, and runs of 5 to 4096 equal samples as a copy at distance 1."""
-    n = len(samples)
-    change = np.flatnonzero(samples[1:] != samples[:-1]) + 1
-    starts = np.concatenate([[0], change])
-    sizes = np.diff(np.append(starts, n))
-    long = np.flatnonzero(sizes >= 5)
-    if not len(long):
-        return samples.astype(np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    keep = np.ones(n, dtype=bool)
-    at, symbols, extras, widths = [], [], [], []
-    for s, size in zip(starts[long].tolist(), sizes[long].tolist(), strict=True):
-        keep[s + 1 : s + size] = False
-        p, left = s + 1, size - 1
-        while left:
-            step = min(left, 4096)
-            code, extra, width = value_code(step)
-            at.append(p)
-            symbols.append(LITERALS + code)
-            extras.append(extra)
-            widths.append(width)
-            p, left = p + step, left - step
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> np.ndarray:
+    """Distance code by distance, 0 where no near offset of a plane of that width has it."""
+    out = np.zeros(8 + 7 * width + 1, np.int64)
+    for code in range(len(NEAR), 0, -1):
+        out[_back(code, width)] = code
+    return out
+
+
+def value_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """value_code of many values."""
+    v = values.astype(np.int64) - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.maximum(top - 1, 0)
+    small = v < 4
+    return np.where(small, v, 2 * top + (v >> extra & 1)), np.where(small, 0, v & ((1 << extra) - 1)), np.where(small, 0, extra)
+
+
+def copies_of(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of copies that don't overlap, each of the nearest place that holds the same samples.
+
+    Places where the last SHORTEST samples came before are taken by sorting; stretches of places with the same
+    distance are copies.
+    """
+    n = len(samples) - SHORTEST + 1
+    if n < 2:
+        return []
+    key = np.ndarray(n, "<u8", np.ascontiguousarray(samples), strides=(1,)).copy()
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    distance = np.zeros(n, np.int64)
+    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
+    edge = np.flatnonzero(np.diff(distance)) + 1
+    begin, end = np.concatenate([[0], edge]), np.append(edge, n)
+    take = distance[begin] > 0
+    out, free = [], 0
+    for s, e, d in zip(begin[take].tolist(), end[take].tolist(), distance[begin[take]].tolist(), strict=True):
+        s, e = max(s, free), e + SHORTEST - 1
+        if e - s < SHORTEST:
+            continue
+        free = e
+        for at in range(s, e, 4096):
+            out.append((at, min(4096, e - at), d))
+    return out
+
+
+def _put_codes(out: BitsOut, counts: np.ndarray, alphabet: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Write the code of symbols counted; code and length by symbol."""
+    used = np.flatnonzero(counts)
+    code, size = np.zeros(alphabet, np.uint64), np.zeros(alphabet, np.int64)
+    lengths = code_lengths(dict(zip(used.tolist(), counts[used].tolist(), strict=True)), limit) if len(used) else {0: 1}
+    for s, (c, n) in put_prefix(out, lengths, alphabet).items():
+        code[s], size[s] = c, n
+    return code, size
+
+
+def _put_green(out: BitsOut, samples: np.ndarray, width: int, alpha: int) -> np.ndarray:
+    """Write the codes of pixels whose other components are 0, 0 and alpha; the pixels as bits to follow."""
+    copies = np.array(copies_of(samples), np.int64).reshape(-1, 3)
+    keep = np.ones(len(samples), bool)
+    inner = np.zeros(len(samples) + 1, np.int64)
+    np.add.at(inner, copies[:, 0], 1)
+    np.add.at(inner, copies[:, 0] + copies[:, 1], -1)
+    keep[np.cumsum(inner[:-1]) > 0] = False
     lit = np.flatnonzero(keep)
-    where = np.concatenate([lit, at])
-    order = np.argsort(where, kind="stable")
-    zero = np.zeros(len(lit), np.int64)
-    return tuple(np.concatenate([a, np.array(b, np.int64)])[order] for a, b in ((samples[lit].astype(np.int64), symbols), (zero, extras), (zero, widths)))
+    near = _near_codes(width)
+    back = copies[:, 2]
+    close = near[np.minimum(back, len(near) - 1)] * (back < len(near))
+    length, extra, n_extra = value_codes(copies[:, 1])
+    far, far_extra, n_far = value_codes(np.where(close > 0, close, back + len(NEAR)))
+    order = np.argsort(np.concatenate([lit, copies[:, 0]]), kind="stable")
+    symbols = np.concatenate([samples[lit].astype(np.int64), LITERALS + length])
+    out.put(0, 2)  # no colour cache, one prefix group
+    green, green_size = _put_codes(out, np.bincount(symbols), LITERALS + LENGTH_CODES, GREEN_BITS)
+    for lone in (0, 0, alpha):
+        put_prefix(out, {lone: 1}, 256)
+    dist, dist_size = _put_codes(out, np.bincount(far), DISTANCE_CODES, 15)
+    value, size = green[symbols], green_size[symbols]
+    tail, k = slice(len(lit), None), np.uint64
+    for bits, width_of in ((extra, n_extra), (dist[far], dist_size[far]), (far_extra, n_far)):
+        value[tail] |= bits.astype(k) << size[tail].astype(k)
+        size[tail] += width_of
+    value, size = value[order], size[order]
+    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+    return (np.repeat(value, size) >> place.astype(k) & k(1)).astype(np.uint8)
+
+
+def residual(samples: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """Grey samples less their left (mode 1) or upper (mode 2) neighbour; edges by the only neighbour they have."""
+    own = samples.reshape(-1, width)
+    out = own.copy()
+    if mode == 1:
+        out[:, 1:] -= own[:, :-1]
+        out[1:, 0] -= own[:-1, 0]
+    else:
+        out[1:] -= own[:-1]
+        out[0, 1:] -= own[0, :-1]
+    return out.ravel()
+
+
+def _cost(samples: np.ndarray) -> float:
+    """Bits of the samples by their frequencies alone."""
+    n = np.bincount(samples, minlength=256)
+    n = n[n > 0]
+    return float((n * np.log2(len(samples) / n)).sum())
+
+
+def _start(width: int, height: int) -> BitsOut:
+    out = BitsOut()
+    for v, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 4)):
+        out.put(v, n)
+    return out
+
+
+def _finish(out: BitsOut, coded: np.ndarray, width: int, alpha: int) -> bytes:
+    flags = _put_green(out, coded, width, alpha)
+    return np.packbits(np.concatenate([out.flags(), flags]), bitorder="little").tobytes()
+
+
+def _with_palette(samples: np.ndarray, values: np.ndarray, width: int) -> bytes:
+    height = len(samples) // width
+    out = _start(width, height)
+    out.put(1 | PALETTE << 1, 3)
+    out.put(len(values) - 1, 8)
+    step = np.diff(values, prepend=0)
+    out.put(0, 1)  # no colour cache
+    seen: dict[int, int] = {}
+    for s in step.tolist():
+        seen[s] = seen.get(s, 0) + 1
+    codes = put_prefix(out, code_lengths(seen, 15), LITERALS + LENGTH_CODES)
+    put_prefix(out, code_lengths(seen, 15), 256)
+    put_prefix(out, code_lengths(seen, 15), 256)
+    put_prefix(out, {255: 1, 0: 1} if len(values) > 1 else {255: 1}, 256)
+    put_prefix(out, {0: 1}, DISTANCE_CODES)
+    for k, s in enumerate(step.tolist()):
+        for _ in range(3):
+            out.put(*codes[s])
+        if len(values) > 1:
+            out.put(*((1, 1) if k == 0 else (0, 1)))
+    out.put(0, 1)  # no more transforms
+    pack = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+    place = np.zeros(256, dtype=np.uint8)
+    place[values] = np.arange(len(values))
+    index = place[samples].reshape(height, -1)
+    index = np.pad(index, ((0, 0), (0, -width % (1 << pack)))).reshape(height, -1, 1 << pack).astype(np.uint32)
+    coded = (index << (np.arange(1 << pack, dtype=np.uint32) * (8 >> pack))).sum(axis=2).astype(np.uint8)
+    return _finish(out, coded.ravel(), coded.shape[1], 255)
+
+
+def _with_predictor(samples: np.ndarray, width: int, mode: int) -> bytes:
+    """Mode 0: as it is."""
+    out = _start(width, len(samples) // width)
+    if mode:
+        out.put(1 | PREDICTOR << 1, 3)
+        out.put(7, 3)  # blocks of 512
+        out.put(0, 1)  # no colour cache; the same mode for every block takes codes and no bits
+        for lone in (mode, 0, 0, 255):
+            put_prefix(out, {lone: 1}, 256)
+        put_prefix(out, {0: 1}, DISTANCE_CODES)
+    out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out.put(0, 1)  # no more transforms
+    return _finish(out, residual(samples, width, mode) if mode else samples, width, 0 if mode else 255)
 
 
 def encode_grey(samples: np.ndarray, width: int = ROW) -> bytes:
-    """A lossless WebP file of grey samples (0 to 255) in rows of `width`."""
+    """A lossless WebP file of grey samples (0 to 255) in rows of `width`.
+
+    A predictor is tried on TRIED samples and more, where frequencies alone say that it may pay, and kept where the file
+    is smaller.
+    """
     height = len(samples) // width
     if not height or height * width != len(samples) or max(width, height) > MAX_SIDE:
         raise ValueError("samples must fill rows of the width")
-    out = BitsOut()
-    out.put(SIGNATURE, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(0, 4)
-    counts = np.bincount(samples, minlength=256)
-    values = np.flatnonzero(counts)
-    coded = samples
+    samples = samples.astype(np.uint8)
+    values = np.flatnonzero(np.bincount(samples, minlength=256))
     if len(values) <= 16:
-        out.put(1 | PALETTE << 1, 3)
-        out.put(len(values) - 1, 8)
-        step = np.diff(values, prepend=0)
-        out.put(0, 1)  # no colour cache
-        seen: dict[int, int] = {}
-        for s in step.tolist():
-            seen[s] = seen.get(s, 0) + 1
-        codes = put_prefix(out, code_lengths(seen, 15), LITERALS + LENGTH_CODES)
-        put_prefix(out, code_lengths(seen, 15), 256)
-        put_prefix(out, code_lengths(seen, 15), 256)
-        put_prefix(out, {255: 1, 0: 1} if len(values) > 1 else {255: 1}, 256)
-        put_prefix(out, {0: 1}, DISTANCE_CODES)
-        for k, s in enumerate(step.tolist()):
-            for _ in range(3):
-                out.put(*codes[s])
-            if len(values) > 1:
-                out.put(*((1, 1) if k == 0 else (0, 1)))
-        pack = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
-        place = np.zeros(256, dtype=np.uint8)
-        place[values] = np.arange(len(values))
-        index = place[samples].reshape(height, -1, 1 << pack).astype(np.uint32)
-        coded = (index << (np.arange(1 << pack, dtype=np.uint32) * (8 >> pack))).sum(axis=2).astype(np.uint8).ravel()
-        alpha = 255
-    else:
-        out.put(1 | SUBTRACT_GREEN << 1, 3)
-        alpha = 255
-    out.put(0, 1)  # no more transforms
-    out.put(0, 2)  # no colour cache, one prefix group
-    symbols, extras, widths = _grey_tokens(coded)
-    seen = np.bincount(symbols)
-    used = np.flatnonzero(seen)
-    lengths = code_lengths(dict(zip(used.tolist(), seen[used].tolist(), strict=True)), LANE_BITS)
-    codes = put_prefix(out, lengths, LITERALS + LENGTH_CODES)
-    for lone in (0, 0, alpha):
-        put_prefix(out, {lone: 1}, 256)
-    put_prefix(out, {1: 1}, DISTANCE_CODES)  # one to the left
-    code, size = np.zeros(LITERALS + LENGTH_CODES, np.uint32), np.zeros(LITERALS + LENGTH_CODES, np.int64)
-    for s, (c, n) in codes.items():
-        code[s], size[s] = c, n
-    own = size[symbols]
-    value, n = code[symbols] | extras.astype(np.uint32) << own.astype(np.uint32), own + widths
-    begin = np.cumsum(n) - n
-    total = int(begin[-1] + n[-1]) if len(n) else 0
-    place = np.arange(total, dtype=np.int64) - np.repeat(begin, n)
-    flags = (np.repeat(value, n) >> place.astype(np.uint32) & 1).astype(np.uint8)
-    return riff(np.packbits(np.concatenate([out.flags(), flags]), bitorder="little").tobytes())
+        return riff(_with_palette(samples, values, width))
+    files = [_with_predictor(samples, width, 0)]
+    plain = _cost(samples)
+    if len(samples) >= TRIED:
+        files += [_with_predictor(samples, width, m) for m in (1, 2) if _cost(residual(samples, width, m)) < plain]
+    return riff(min(files, key=len))

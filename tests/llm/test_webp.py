@@ -182,3 +182,82 @@ def test_pixels_of_every_image(spark):
         samples = bytes(p & 255 for r in rows if r.doc_id == i for p in r.pixels)
         assert samples == media.payload_of(t.encode()) and len(samples) > webp.TILE
     assert rows[-1].pixels is None and rows[-2].pixels is None
+
+
+def kinds(file):
+    bits, width, height = webp._read_start(webp.read_header(file)[1])
+    return [step[0] for step in webp._read_transforms(bits, width, height)[0]]
+
+
+@pytest.mark.parametrize("mode", [1, 2])
+def test_predictor_is_written_where_it_pays(mode):
+    rng = np.random.default_rng(mode)
+    small = rng.integers(-2, 3, (90, 64))
+    own = (np.cumsum(small, axis=1 if mode == 1 else 0) + 128).astype(np.uint8).ravel()
+    file = webp.encode_grey(own)
+    assert kinds(file) == [webp.PREDICTOR, webp.SUBTRACT_GREEN]
+    assert len(file) < 0.6 * len(webp.riff(webp._with_predictor(own, 64, 0)))
+    assert (webp.decode_grey([webp.read_header(file)[1]])[0] == own).all()
+
+
+@pytest.mark.parametrize("mode", [1, 2])
+def test_sums_equal_the_walk(pixels, mode):
+    c = webp._channels(pixels)
+    modes = np.full((4, 6), mode)
+    one_other = modes.copy()
+    one_other[3, 5] = 4 if mode == 1 else 3
+    coded = webp.walk_predictions(c, modes, 2, 21, 13, True)
+    assert (webp.walk_predictions(coded, modes, 2, 21, 13, False) == c).all()
+    mixed = webp.walk_predictions(c, one_other, 2, 21, 13, True)
+    assert (webp.walk_predictions(mixed, one_other, 2, 21, 13, False) == c).all()
+
+
+def test_copies_hold_what_they_copy():
+    rng = np.random.default_rng(11)
+    words = [rng.integers(97, 123, int(n)).astype(np.uint8) for n in rng.integers(3, 40, 30)]
+    own = np.concatenate([words[i] for i in rng.integers(0, 30, 900)])
+    own = np.concatenate([own, np.full(9000, 65, np.uint8)])
+    end, out = 0, own.copy()
+    for at, n, back in webp.copies_of(own):
+        assert at >= end and 1 <= back <= at and 1 <= n <= 4096
+        for k in range(at, at + n):
+            assert own[k] == own[k - back]
+        end = at + n
+    assert any(back > 64 for _, _, back in webp.copies_of(own)) and any(back == 1 for _, _, back in webp.copies_of(own))
+    assert webp.copies_of(out[:7]) == []
+
+
+@pytest.mark.parametrize("width", [64, 32, 8])
+def test_near_and_far_copies_round_trip(width):
+    rng = np.random.default_rng(width)
+    line = rng.integers(0, 200, width * 3).astype(np.uint8)
+    far = rng.integers(0, 200, width * 40).astype(np.uint8)
+    own = np.concatenate([line, line, far, line[1:], line[:1], far[5:], line[: width + 5]])
+    file = webp.encode_grey(own, width)
+    assert (webp.decode_grey([webp.read_header(file)[1]])[0] == own).all()
+    assert len(file) < 0.7 * len(own)
+    near = webp._near_codes(width)
+    for d in range(1, len(near)):
+        assert not near[d] or webp._back(int(near[d]), width) == d
+    assert near[width] == 1 and near[1] == 2
+
+
+def test_value_codes_equal_the_single_ones():
+    many = np.arange(1, 70000)
+    assert [tuple(t) for t in zip(*(a.tolist() for a in webp.value_codes(many)), strict=True)] == [webp.value_code(v) for v in many.tolist()]
+
+
+def test_bits_that_stop_or_point_outside():
+    own = np.random.default_rng(1).integers(0, 90, 64 * 20).astype(np.uint8)
+    chunk = webp.read_header(webp.encode_grey(own))[1]
+    for cut in (200, 500, len(chunk) - 3):
+        with pytest.raises(webp.BadImage):
+            webp.decode(chunk[:cut])
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        broken = bytearray(chunk)
+        broken[int(rng.integers(5, len(chunk)))] ^= 1 << int(rng.integers(8))
+        try:
+            assert webp.decode(bytes(broken)).size
+        except webp.BadImage:
+            pass
