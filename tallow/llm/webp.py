@@ -68,10 +68,15 @@ class Bits:
 
 def canonical(lengths) -> dict[int, tuple[int, int]]:
     """symbol -> (code with its first bit lowest, length), for lengths by symbol."""
+    return canonical_of({s: n for s, n in enumerate(lengths) if n})
+
+
+def canonical_of(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """canonical, for the lengths of the symbols in use."""
     out, code, last = {}, 0, 0
-    for n, symbol in sorted((n, s) for s, n in enumerate(lengths) if n):
+    for n, symbol in sorted((n, s) for s, n in lengths.items()):
         code <<= n - last
-        out[symbol] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        out[symbol] = (int(_reversed(n)[code]) if n <= GREEN_BITS else int(f"{code:0{n}b}"[::-1], 2), n)
         code, last = code + 1, n
     return out
 
@@ -241,7 +246,7 @@ def _green_only(bits: Bits, width: int, n: int, green: Prefix, distance: Prefix)
     """Green of n pixels whose other components are the same everywhere and take no bits.
 
     The token that would begin at each bit is read for all bits at once; the tokens that are meant are then the chain
-    from the first bit, which is followed in steps of 16.
+    from the first bit, which is followed in steps of 8.
     """
     if green.lone is not None:
         if green.lone >= LITERALS:
@@ -253,10 +258,10 @@ def _green_only(bits: Bits, width: int, n: int, green: Prefix, distance: Prefix)
     words = raw[:m] | raw[1 : m + 1] << 8 | raw[2 : m + 2] << 16 | raw[3 : m + 3] << 24 | raw[4 : m + 4] << 32
     window = (words[:, None] >> np.arange(8)).ravel()
     stop = len(window) - 1
-    found = green.lut()[window & ((1 << green.bits) - 1)]
-    symbol, step = found >> 4, found & 15
-    copies = np.flatnonzero(symbol >= LITERALS)
-    kind = symbol[copies] - LITERALS
+    found = green.lut().take(window & ((1 << green.bits) - 1))
+    step = found & 15
+    copies = np.flatnonzero(found >= LITERALS << 4)
+    kind = (found[copies] >> 4) - LITERALS
     at = copies + step[copies]
     length = _LEAST[kind] + (window[np.minimum(at, stop)] & ((1 << _EXTRA[kind]) - 1))
     at += _EXTRA[kind]
@@ -265,19 +270,19 @@ def _green_only(bits: Bits, width: int, n: int, green: Prefix, distance: Prefix)
     far >>= 4
     code = _LEAST[far] + (window[np.minimum(at, stop)] & ((1 << _EXTRA[far]) - 1))
     step[copies] = at + _EXTRA[far] - copies
-    jump = [np.minimum(np.arange(stop + 1) + step, stop)]
-    jump[0][stop] = stop
-    for _ in range(4):
-        jump.append(jump[-1][jump[-1]])
-    seen, a, leap = [], bits.pos - base, jump[4]
-    while a < stop and len(seen) * 16 < n:
+    step += np.arange(stop + 1)
+    jump = [np.minimum(step, stop, out=step)]
+    for _ in range(3):
+        jump.append(jump[-1].take(jump[-1]))
+    seen, a, leap = [], bits.pos - base, jump[3]
+    while a < stop and len(seen) * 8 < n:
         seen.append(a)
         a = int(leap[a])
     token = np.array(seen, np.int64)
-    for j in (3, 2, 1, 0):
+    for j in (2, 1, 0):
         token = np.stack([token, jump[j][token]], axis=-1).ravel()
     token = token[token < stop]
-    own = symbol[token]
+    own = found[token] >> 4
     copied = own >= LITERALS
     which = np.searchsorted(copies, token[copied])
     size = np.ones(len(token), np.int64)
@@ -286,7 +291,7 @@ def _green_only(bits: Bits, width: int, n: int, green: Prefix, distance: Prefix)
     last = int(np.searchsorted(end, n))
     if last == len(end):
         raise BadImage("the image ends early")
-    bits.pos = base + int(token[last] + step[token[last]])
+    bits.pos = base + int(jump[0][token[last]])
     if bits.pos > bits.size:
         raise BadImage("the image ends early")
     if end[last] != n:
@@ -584,12 +589,12 @@ def put_prefix(out: BitsOut, lengths: dict[int, int], alphabet: int) -> dict[int
     for s in LENGTH_ORDER[:most]:
         out.put(own.get(s, 0), 3)
     out.put(0, 1)
-    codes = canonical([own.get(s, 0) for s in range(19)])
+    codes = canonical_of(own)
     for s, extra, n in runs:
         if len(own) > 1:
             out.put(*codes[s])
         out.put(extra, n)
-    return canonical([lengths.get(s, 0) for s in range(used[-1] + 1)]) if len(used) > 1 else {used[0]: (0, 0)}
+    return canonical_of(lengths) if len(used) > 1 else {used[0]: (0, 0)}
 
 
 def riff(vp8l: bytes) -> bytes:
