@@ -15,6 +15,7 @@ longer than a sequence goes on in the next ones.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -46,6 +47,16 @@ _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _ENDS = frozenset(".!?")
+#: Fixed values of the vocabularies that may be encoded chunk by chunk: normaliser, splitter and merges as their file has them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MERGES = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
 _tokenizers: dict[tuple[str, bool], Tokenizer] = {}
 
 
@@ -66,6 +77,9 @@ class Tokenizer:
     With `special`, the names of special tokens in a text are those tokens, as the vocabulary's own tokenizer takes
     them; else they are text like any other. They are found as written, before the normaliser, so a chunk that holds
     one goes whole to that tokenizer, and is cached with a blank before it, apart from a chunk put in lower case.
+
+    All this holds for vocabularies with the NORMALIZER, SPLITTER and MERGES above (`chunked`); with any other, each
+    text goes whole to the vocabulary's own tokenizer, without truncation or padding.
     """
 
     def __init__(self, path: str, special: bool = False):
@@ -73,8 +87,13 @@ class Tokenizer:
 
         self.own = Own.from_file(path)
         self.plain = Own.from_file(path) if special else None
+        file = json.loads(self.own.to_str())
+        self.chunked = file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == SPLITTER and MERGES.items() <= file["model"].items()
+        for t in (self.own, self.plain) if special else (self.own,):
+            t.no_truncation()
+            t.no_padding()
         added = self.own.get_added_tokens_decoder().values() if special else ()
-        if any(t.normalized or t.single_word or not _CHUNKS.fullmatch(t.content) for t in added):
+        if self.chunked and any(t.normalized or t.single_word or not _CHUNKS.fullmatch(t.content) for t in added):
             raise ValueError("added tokens with white space, of single words or of normalised text aren't supported")
         self.names = [t.content for t in added]
         self.own.encode_special_tokens = True
@@ -84,7 +103,7 @@ class Tokenizer:
         #: By id: whether the token closes a sentence.
         self.ends = np.zeros(max(self.own.get_vocab_size(), CLOSING_ID + 1), dtype=bool)
         for token, i in self.own.get_vocab(with_added_tokens=False).items():
-            self.ends[i] = token.removesuffix("</w>")[-1:] in _ENDS and token.endswith("</w>")
+            self.ends[i] = token.removesuffix("</w>")[-1:] in _ENDS and (token.endswith("</w>") or not self.chunked)
 
     @classmethod
     def get(cls, path: str, special: bool = False) -> Tokenizer:
@@ -160,6 +179,12 @@ def chunks_of(text: str) -> list[str]:
 
 def tokens_of(texts: list[str | None], tokenizer: Tokenizer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per text: ids with the closing id, and ascending ends (in tokens) of its sentences."""
+    if not tokenizer.chunked:
+        for t in texts:
+            own = (tokenizer.plain or tokenizer.own).encode(t or "", add_special_tokens=False).ids
+            ids = np.array([*own, CLOSING_ID], "<u4")
+            yield ids, np.flatnonzero(tokenizer.ends[ids]) + 1
+        return
     split = [tokenizer.chunks_of(t or "") for t in texts]
     tokenizer.learn(set().union(*split))
     get, close = tokenizer.cache.__getitem__, np.array([CLOSING_ID], "<u4").tobytes()

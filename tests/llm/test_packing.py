@@ -107,3 +107,16 @@ def test_queries_take_special_tokens_as_the_library(spark, tmp_path):
             ids = want[r.doc_id]
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
     assert {r.doc_id: r.ids for r in packing.pack(docs, PATH, with_ids=True, special=True).collect() if r.length == r.doc_tokens}.items() <= want.items()
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_a_vocabulary_with_another_normaliser(special):
+    path = P.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = not special
+    texts = ["Hello  World. It's two\n\nlines!", None, "", "<|endoftext|> in a text", "Ünïcode ÅNGSTRÖM 123"]
+    own = packing.Tokenizer.get(path, special)
+    assert not own.chunked and packing.Tokenizer.get(PATH, special).chunked
+    for text, (ids, ends) in zip(texts, packing.tokens_of(texts, own), strict=True):
+        assert ids.tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        assert all(0 < e <= len(ids) for e in ends.tolist())
