@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import http.client
 import importlib
 import sys
+import urllib.error
 import urllib.request
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 from tallow import report
@@ -16,6 +18,7 @@ from tallow.sources import sinks
 from tallow.sources.http import Response
 
 OK, FAILED, USAGE, INTERRUPTED = 0, 1, 2, 130
+PIECE = 1 << 20
 
 
 class _Base:
@@ -26,10 +29,22 @@ class _Base:
 
     def __call__(self, what: str) -> Response:
         try:
-            with urllib.request.urlopen(self.base + what, timeout=60) as r:
-                return Response(r.status, r.read(), dict(r.headers))
+            r = urllib.request.urlopen(self.base + what, timeout=60)
         except urllib.error.HTTPError as e:
-            return Response(e.code, e.read(1024), dict(e.headers))
+            with e:
+                return Response(e.code, e.read(1024), dict(e.headers))
+        except http.client.HTTPException as e:
+            raise OSError(f"{type(e).__name__}: {e}") from e
+        return Response(r.status, headers=dict(r.headers), parts=self._parts(r))
+
+    @staticmethod
+    def _parts(r) -> Iterator[bytes]:
+        with r:
+            try:
+                while got := r.read(PIECE):
+                    yield got
+            except http.client.HTTPException as e:
+                raise OSError(f"{type(e).__name__}: {e}") from e
 
 
 def parser() -> argparse.ArgumentParser:
@@ -52,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
     ls = sub.add_parser("list")
     ls.add_argument("--symbol", required=True)
     ls.add_argument("--interval", required=True)
+    ls.add_argument("--since", help="list from this date or instant on")
     ls.add_argument("--all", action="store_true")
     sub.add_parser("cache")
     sub.add_parser("prune").add_argument("--dry-run", action="store_true")
@@ -118,9 +134,9 @@ def _run(engine: CandleEngine, args) -> int:
         return FAILED if failed else OK
     if args.command == "list":
         symbol, interval = normalize_symbol(args.symbol), parse_interval(args.interval)
-        sys.stdout.write(report.availability(symbol, interval, engine.available(symbol, interval), args.all))
+        sys.stdout.write(report.availability(symbol, interval, engine.available(symbol, interval, parse_start(args.since) if args.since else None), args.all))
     elif args.command == "cache":
-        sys.stdout.write(report.usage(engine.root, {r.file_class: (r.files, r.bytes) for r in engine.cache_usage().collect()}))
+        sys.stdout.write(report.usage(engine.root, {r.file_class: (r.files, r.bytes) for r in engine.cache_usage().collect()}, [r.freed for r in engine.prune_archives(dry_run=True) if r.removed]))
     elif args.command == "verify":
         bad = engine.verify_cache().where("status <> 'ok'").orderBy("stem").collect()
         for r in bad:
@@ -135,6 +151,12 @@ def _run(engine: CandleEngine, args) -> int:
         else:
             before = parse_start(args.before) if args.before else None
             got = engine.evict_cache(symbols=[normalize_symbol(s) for s in args.symbol], intervals=[parse_interval(i).name for i in args.interval], before=before, everything=args.all, dry_run=args.dry_run)
+        if not got:
+            print("no cached archives" if args.command == "prune" else "nothing matched")
+            return OK
+        for r in got:
+            if not r.removed:
+                print(f"kept {Path(r.path).name}: {r.reason}", file=sys.stderr)
         gone = [r for r in got if r.removed]
         print(f"{'would free' if args.dry_run else 'freed'} {report.human_bytes(sum(r.freed for r in gone))} in {report.plural(len(gone), 'file')}, kept {len(got) - len(gone)}")
     return OK

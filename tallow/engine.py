@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.model import CANDLE_SCHEMA, COLUMNS, Chunk, Interval, InvalidRequestError, Kind, NotAvailableError, Request, instant, micros_of, month_start, next_month, normalize_symbol
+from tallow.model import CANDLE_SCHEMA, COLUMNS, Chunk, Interval, InvalidRequestError, Kind, Market, NotAvailableError, Request, instant, micros_of, month_start, next_month, normalize_symbol
 from tallow.operators import series
 from tallow.plans import planner
 from tallow.sources import archive, listing, rest, store
-from tallow.sources.http import Limiter, Policy, Transport, get
+from tallow.sources.http import Limiter, Policy, Transport, get, save
 
 CONCURRENCY = 8
 
@@ -76,7 +76,7 @@ class CandleEngine:
     def plan(self, request: Request, now: dt.datetime) -> list[Chunk]:
         """Chunks of a resolved request by what is published."""
         since = month_start(request.start)
-        index = listing.published(self.spark, self.upstream.listings, request.symbol, request.interval, since, self.policy)
+        index = listing.published(self.spark, self.upstream.listings, request.symbol, request.interval, since, self.policy, request.market.value)
         rows = index.collect()  # one row per period of a symbol
         have = {(Kind(r.agg), r.period.replace(tzinfo=dt.UTC)) for r in rows}
         ends = [next_month(t) if k is Kind.MONTHLY else t + planner.ONE_DAY for k, t in have]
@@ -88,7 +88,7 @@ class CandleEngine:
         if not chunks:
             return {}
         root, symbol, interval, transport, policy = self.root, request.symbol, request.interval, self.upstream.archives, self.policy
-        low, high = request.start, request.end
+        low, high, market = request.start, request.end, request.market.value
 
         def run(parts):
             import pyarrow.compute as pc
@@ -97,9 +97,10 @@ class CandleEngine:
             for part in parts:
                 for kind, a, b in zip(*(part.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
                     start, end = instant(a), instant(b)
-                    e = store.entry(root, symbol, interval, Kind(kind), start)
+                    e = store.entry(root, symbol, interval, Kind(kind), start, market)
                     try:
-                        n = store.build(e, store.key_of(symbol, interval, Kind(kind), start), archive.Spec(interval, start, end), lambda key: get(transport, key, policy))
+                        key, spec = store.key_of(symbol, interval, Kind(kind), start, market), archive.Spec(interval, start, end)
+                        n = store.build(e, key, spec, lambda k: get(transport, k, policy), lambda k, f: save(transport, k, f, policy))
                         if start < low or end > high:
                             t = pq.read_table(e.parquet, columns=["open_time"]).column(0)
                             n = pc.sum(pc.and_(pc.greater_equal(t, pa.scalar(low, t.type)), pc.less_equal(t, pa.scalar(high, t.type)))).as_py() or 0
@@ -133,7 +134,7 @@ class CandleEngine:
                 self.progress(Progress(i, total, c, n))
         parts = []
         if ready:
-            places = {str(store.entry(self.root, request.symbol, request.interval, c.kind, c.start).parquet): i for i, c in enumerate(sorted([*ready, *live])) if c in ready}
+            places = {str(store.entry(self.root, request.symbol, request.interval, c.kind, c.start, request.market.value).parquet): i for i, c in enumerate(sorted([*ready, *live])) if c in ready}
             order = self.spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for p, i in places.items()], "file string, chunk_ord int")
             # one row per file of the plan
             own = store.read(self.spark, list(places)).withColumn("file", F.col("_metadata.file_name"))
@@ -190,9 +191,12 @@ class CandleEngine:
 
     # -- catalog
 
-    def available(self, symbol: str, interval: Interval) -> Availability:
+    def available(self, symbol: str, interval: Interval, since: dt.datetime | None = None, market: Market = Market.SPOT) -> Availability:
+        """What is published; with `since`, listings start at the month and day that hold it."""
         symbol = normalize_symbol(symbol)
-        index = listing.published(self.spark, self.upstream.listings, symbol, interval, None, self.policy).cache()
+        if since is not None and since.utcoffset() != dt.timedelta(0):
+            raise InvalidRequestError("since must be in UTC")
+        index = listing.published(self.spark, self.upstream.listings, symbol, interval, since, self.policy, market.value).cache()
 
         def periods(df: DataFrame) -> list[dt.datetime]:
             return [r.period.replace(tzinfo=dt.UTC) for r in df.orderBy("period").collect()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from tallow.engine import Availability
 from tallow.model import Interval
 
@@ -46,9 +48,16 @@ def availability(symbol: str, interval: Interval, a: Availability, show_all: boo
     return "\n".join(lines) + "\n"
 
 
-def usage(root: str, rows: dict[str, tuple[int, int]]) -> str:
-    """rows: file class -> (files, bytes)."""
+def usage(root: str, rows: dict[str, tuple[int, int]], prunable: Sequence[int] = ()) -> str:
+    """rows: file class -> (files, bytes); prunable: sizes of the archives that pruning would delete."""
+    if not rows:
+        return f"{root}\n\nempty\n"
     shown = [(k, *rows[k]) for k in ("archives", "sidecars", "parquet", "other") if k in rows]
     shown.append(("total", sum(r[1] for r in shown), sum(r[2] for r in shown)))
     wide = max(len(str(r[1])) for r in shown)
-    return f"{root}\n\n" + "".join(f"{name:>10s}  {n:{wide}d}  {human_bytes(size)}\n" for name, n, size in shown)
+    out = f"{root}\n\n" + "".join(f"{name:>10s}  {n:{wide}d}  {human_bytes(size)}\n" for name, n, size in shown)
+    if prunable:
+        out += f"\n{human_bytes(sum(prunable))} in {plural(len(prunable), 'archive')} can be freed by prune\n"
+    elif "archives" in rows:
+        out += "\nnothing to prune: every archive is still needed\n"
+    return out

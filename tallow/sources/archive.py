@@ -1,7 +1,8 @@
 """Archives: one CSV in a ZIP, decoded strictly into candles.
 
-`decode` works on one archive's bytes and yields Arrow batches; `scan` runs it over many archives, one per row of
-Spark's binaryFile source. Row order matters (headers, strictly rising opens), so a file is decoded by one task.
+`decode_batches` reads one archive, bytes or a path, block by block and yields Arrow batches; `scan` runs it over many
+archives, one per row of Spark's binaryFile source. Row order matters (headers, strictly rising opens), so a file is
+decoded by one task, which holds one block of it.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from decimal import Decimal
+from itertools import chain
+from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ from tallow.model import CANDLE_SCHEMA, COLUMNS, MICROS_FROM, VOLUMES, WIRE, Cor
 from tallow.sources.sinks import ARROW
 
 BATCH = 8_192
+#: Bytes of CSV that are parsed at once, and the longest line.
+BLOCK = 8 << 20
 _INT = re.compile(text.INTEGER, re.ASCII)
 _DEC = re.compile(text.DECIMAL, re.ASCII)
 
@@ -100,11 +107,11 @@ def check(row: dict, spec: Spec) -> None:
         raise CorruptArchiveError("volumes are negative or takers exceed the total")
 
 
-def decode_csv(lines: Iterator[str], spec: Spec) -> Iterator[tuple]:
+def decode_csv(lines: Iterator[str], spec: Spec, first: int = 0, before: dt.datetime | None = None) -> Iterator[tuple]:
+    """Candles of a file's lines, or of those from row `first` on, `before` being the open of the row before."""
     spec.validate()
-    before = None
     try:
-        for i, fields in enumerate(csv.reader(lines, strict=True)):
+        for i, fields in enumerate(csv.reader(lines, strict=True), first):
             if i == 0 and fields:
                 fields[0] = fields[0].removeprefix("﻿")
                 if len(fields) == len(WIRE) and not _INT.match(fields[0]) and not _DEC.match(fields[1]):
@@ -130,15 +137,22 @@ def member(archive: zipfile.ZipFile) -> zipfile.ZipInfo:
     return found[0]
 
 
-def decode(content: bytes, spec: Spec) -> Iterator[tuple]:
-    """Candles of one archive, lazily, in order; stops at the first error."""
+@contextmanager
+def _reading(content: bytes | Path) -> Iterator[BinaryIO]:
+    """The CSV of an archive, inflated as it is read."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member(z)) as f:
-            yield from decode_csv(io.TextIOWrapper(f, "utf-8", newline=""), spec)
+        with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z, z.open(member(z)) as f:
+            yield f
     except (zipfile.BadZipFile, EOFError, NotImplementedError, zipfile.zlib.error) as e:
         raise CorruptArchiveError(f"not a readable ZIP: {e}") from None
 
 
+def decode(content: bytes | Path, spec: Spec) -> Iterator[tuple]:
+    """Candles of one archive, lazily, in order; stops at the first error."""
+    with _reading(content) as f:
+        yield from decode_csv(io.TextIOWrapper(f, "utf-8", newline=""), spec)
+
+
 def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
@@ -154,32 +168,66 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
-def decode_batches(content: bytes, spec: Spec) -> Iterator[pa.RecordBatch]:
+def decode_batches(content: bytes | Path, spec: Spec) -> Iterator[pa.RecordBatch]:
     """Candles of one archive as Arrow batches.
 
-    Whole columns are parsed and checked at once. Where anything is out of order the strict reader goes over the
-    file again, and says which row it is.
+    Whole columns of a block are parsed and checked at once. From the first block in which anything is out of order
+    the strict reader goes on, and says which row it is.
     """
     spec.validate()
-    table = _columns(content, spec)
-    if table is None:
-        yield from batches(decode(content, spec))
-    else:
-        yield from table.to_batches(max_chunksize=65_536)
-
-
-def _columns(content: bytes, spec: Spec) -> pa.Table | None:
-    """The file as a table of candles if every row is good, else None."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            raw = z.read(member(z))
-    except Exception:
+    with _reading(content) as f:
+        pieces = _pieces(f)
+        for table, raw, row, before in _tables(pieces, spec):
+            if table is None:
+                lines = (line for piece in chain([raw], pieces) for line in io.StringIO(piece.decode("utf-8"), newline=""))
+                yield from batches(decode_csv(lines, spec, row, before))
+            else:
+                yield from table.to_batches(max_chunksize=65_536)
+
+
+def _pieces(f: BinaryIO) -> Iterator[bytes]:
+    """A file's whole lines, about BLOCK bytes at a time."""
+    rest = f.read(BLOCK)
+    while got := f.read(BLOCK):
+        cut = rest.rfind(b"\n") + 1 or rest.rfind(b"\r") + 1
+        if cut:
+            yield rest[:cut]
+        elif len(rest) > BLOCK:
+            raise CorruptArchiveError(f"a line is longer than {BLOCK} bytes")
+        rest = rest[cut:] + got
+    if rest:
+        yield rest
+
+
+def _tables(pieces: Iterator[bytes], spec: Spec) -> Iterator[tuple[pa.Table | None, bytes, int, dt.datetime | None]]:
+    """A table of each piece, the piece, its first row and the open before it; ends with None for the first piece that isn't plain."""
+    row, before = 0, None
+    for raw in pieces:
+        skip = _header_lines(raw) if row == 0 else 0
+        table = _block(raw, skip, spec, before)
+        yield table, raw, row, before
+        if table is None:
+            return
+        row += skip + table.num_rows
+        before = table["open_time"][-1].as_py()
+
+
+def _columns(content: bytes | Path, spec: Spec) -> pa.Table | None:
+    """The file as one table of candles if every row is good, else None."""
+    with _reading(content) as f:
+        tables = [t for t, *_ in _tables(_pieces(f), spec)]
+    return pa.concat_tables(tables) if tables and tables[-1] is not None else None
+
+
+def _header_lines(raw: bytes) -> int:
+    first = raw.split(b"\n", 1)[0].removeprefix(b"\xef\xbb\xbf").strip().split(b",")
+    return int(len(first) == len(WIRE) and not first[0].isdigit() and not re.match(rb"[+-]?[0-9]", first[1]))
+
+
+def _block(raw: bytes, skip: int, spec: Spec, before: dt.datetime | None) -> pa.Table | None:
+    """Lines as a table of candles, all after `before`, if every row is good, else None."""
+    if b'"' in raw or raw.split(b"\n", 1)[0].count(b",") != len(WIRE) - 1 or not raw.isascii():
         return None
-    head = raw[: raw.find(b"\n") + 1 or len(raw)]
-    first = head.removeprefix(b"\xef\xbb\xbf").strip().split(b",")
-    if b'"' in raw or len(first) != len(WIRE) or not raw.isascii():
-        return None
-    skip = int(not first[0].isdigit() and not re.match(rb"[+-]?[0-9]", first[1]))
     try:
         t = pacsv.read_csv(
             pa.BufferReader(raw), pacsv.ReadOptions(column_names=list(WIRE), skip_rows=skip, use_threads=False), pacsv.ParseOptions(quote_char=False, ignore_empty_lines=False),
@@ -204,6 +252,8 @@ def _columns(content: bytes, spec: Spec) -> pa.Table | None:
         return None
     opened, closed = (out[c].to_numpy() for c in COLUMNS[:2])
     iv = spec.interval
+    if before is not None and opened[0] <= micros_of(before):
+        return None
     if not iv.micros or opened[0] < micros_of(spec.start) or opened[-1] >= micros_of(spec.end) or opened[0] <= 0:
         return None
     grid = (np.diff(opened) > 0).all() and ((opened - iv.anchor) % iv.micros == 0).all() and ((closed > opened) & (closed < opened + iv.micros)).all()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import email.utils
+import hashlib
 import random
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 from tallow.model import BannedError, NotAvailableError, RateLimitedError, TallowError
 
@@ -19,6 +21,28 @@ class Response:
     status: int
     body: bytes = b""
     headers: dict[str, str] = field(default_factory=dict)
+    #: The body piece by piece, instead of `body`.
+    parts: Iterable[bytes] | None = None
+
+    def header(self, name: str) -> str | None:
+        return {k.lower(): v for k, v in self.headers.items()}.get(name)
+
+
+class _Cut(Exception):
+    """A body that broke off."""
+
+
+def _body(r: Response) -> Iterator[bytes]:
+    """The body's pieces; a connection that breaks, or a length that isn't the declared one, is a _Cut."""
+    n, declared = 0, r.header("content-length")
+    try:
+        for part in (r.body,) if r.parts is None else r.parts:
+            n += len(part)
+            yield part
+    except OSError as e:
+        raise _Cut(str(e)) from e
+    if declared and declared.strip().isdigit() and not r.header("content-encoding") and n != int(declared):
+        raise _Cut(f"{n} bytes of {declared.strip()}")
 
 
 #: Takes a key or query and answers; raises OSError where the connection fails.
@@ -82,6 +106,26 @@ class Limiter:
 
 def get(transport: Transport, what: str, policy: Policy = Policy(), limiter: Limiter | None = None, sleep=time.sleep, clock=time.time, rng: random.Random | None = None) -> bytes:
     """The body, after retries of 429, 5xx and broken connections; 418 is final at once."""
+    return _ask(transport, what, lambda r: b"".join(_body(r)), policy, limiter, sleep, clock, rng)
+
+
+def save(transport: Transport, what: str, f: BinaryIO, policy: Policy = Policy(), **options) -> str:
+    """Write the body to a seekable file as it arrives; its SHA-256. Every try starts the file anew."""
+    start = f.tell()
+
+    def take(r: Response) -> str:
+        f.seek(start)
+        f.truncate()
+        sha = hashlib.sha256()
+        for part in _body(r):
+            sha.update(part)
+            f.write(part)
+        return sha.hexdigest()
+
+    return _ask(transport, what, take, policy, **options)
+
+
+def _ask[T](transport: Transport, what: str, take: Callable[[Response], T], policy: Policy, limiter: Limiter | None = None, sleep=time.sleep, clock=time.time, rng: random.Random | None = None) -> T:
     rng = rng or random.Random()
     for attempt in range(1, policy.attempts + 1):
         if limiter:
@@ -90,12 +134,19 @@ def get(transport: Transport, what: str, policy: Policy = Policy(), limiter: Lim
         try:
             r = transport(what)
         except OSError as e:
+            broken = e
+        else:
+            broken = None
+            if r.status == 200:
+                try:
+                    return take(r)
+                except _Cut as e:
+                    broken = e
+        if broken is not None:
             if last:
-                raise TallowError(f"{what}: {e}") from e
+                raise TallowError(f"{what}: {broken}") from broken
             sleep(policy.backoff(attempt, rng))
             continue
-        if r.status == 200:
-            return r.body
         if r.status == 404:
             raise NotAvailableError(f"{what}: not found")
         if r.status == 418:
@@ -104,7 +155,7 @@ def get(transport: Transport, what: str, policy: Policy = Policy(), limiter: Lim
             raise TallowError(f"{what}: status {r.status}: {r.body[:200]!r}")
         if last:
             raise RateLimitedError(f"{what}: still 429 after {attempt} attempts") if r.status == 429 else TallowError(f"{what}: status {r.status}")
-        asked = retry_after({k.lower(): v for k, v in r.headers.items()}.get("retry-after"), clock())
+        asked = retry_after(r.header("retry-after"), clock())
         sleep(max(policy.backoff(attempt, rng), min(asked or 0.0, RETRY_AFTER_CAP)))
     raise AssertionError("unreachable")
 

@@ -73,11 +73,11 @@ def archive_stem(symbol: str, interval: Interval, kind: Kind, start) -> str:
     return f"{symbol}-{interval.name}-{start.strftime('%Y-%m' if kind is Kind.MONTHLY else '%Y-%m-%d')}"
 
 
-def published(spark: SparkSession, transport: Transport, symbol: str, interval: Interval, since=None, policy: Policy = Policy()) -> DataFrame:
+def published(spark: SparkSession, transport: Transport, symbol: str, interval: Interval, since=None, policy: Policy = Policy(), market: str = "spot") -> DataFrame:
     """agg and period of every published archive; sidecars and foreign names go. `since` starts the listing there."""
     rows = []
     for kind in [Kind.MONTHLY] + [Kind.DAILY] * interval.daily:
-        prefix = archive_prefix(symbol, interval, kind)
+        prefix = archive_prefix(symbol, interval, kind, market)
         # just before the wanted period's own key
         seek = prefix + archive_stem(symbol, interval, kind, since) if since is not None else ""
         rows += [(kind.value, o.key.removeprefix(prefix)) for o in list_objects(transport, prefix, seek, policy)]

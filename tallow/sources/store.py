@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -85,8 +86,24 @@ def gate(path: Path, sha: str, name: str) -> int:
         return f.metadata.num_rows
 
 
-def ensure(e: Entry, key: str, fetch: Callable[[str], bytes]) -> str:
-    """The archive and its sidecar on disk, verified when downloaded; its SHA-256."""
+#: Writes an object to a file and gives its SHA-256.
+Save = Callable[[str, BinaryIO], str]
+
+
+def ensure(e: Entry, key: str, fetch: Callable[[str], bytes], save: Save | None = None) -> str:
+    """The archive and its sidecar on disk, verified when downloaded; its SHA-256. `save` takes the archive without holding it."""
+
+    def download(f: BinaryIO) -> int:
+        if save is not None:
+            got = save(key, f)
+        else:
+            content = fetch(key)
+            got = hashlib.sha256(content).hexdigest()
+            f.write(content)
+        if got != sha:
+            raise ChecksumError(f"{e.zip.name} is not what its checksum says")
+        return f.tell()
+
     if e.sidecar.exists():
         sha = parse_checksum(e.sidecar.read_text(), e.zip.name)
         if e.zip.exists():
@@ -94,15 +111,17 @@ def ensure(e: Entry, key: str, fetch: Callable[[str], bytes]) -> str:
     e.folder.mkdir(parents=True, exist_ok=True)
     text = fetch(key + ".CHECKSUM").decode("ascii", "replace")
     sha = parse_checksum(text, e.zip.name)
-    content = fetch(key)
-    if hashlib.sha256(content).hexdigest() != sha:
-        raise ChecksumError(f"{e.zip.name} is not what its checksum says")
-    publish(e.zip, lambda f: f.write(content))
+    publish(e.zip, download)
     publish(e.sidecar, lambda f: f.write(format_checksum(sha, e.zip.name).encode()))
     return sha
 
 
-def build(e: Entry, key: str, spec: archive.Spec, fetch: Callable[[str], bytes]) -> int:
+def _sha_of(path: Path) -> str:
+    with path.open("rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def build(e: Entry, key: str, spec: archive.Spec, fetch: Callable[[str], bytes], save: Save | None = None) -> int:
     """Rows of the archive's Parquet file, made from the archive where it is missing or stale.
 
     On a hit neither the archive is opened nor anything hashed.
@@ -112,18 +131,16 @@ def build(e: Entry, key: str, spec: archive.Spec, fetch: Callable[[str], bytes])
             return gate(e.parquet, parse_checksum(e.sidecar.read_text(), e.zip.name), e.zip.name)
         except CorruptArchiveError:
             pass
-    sha = ensure(e, key, fetch)
-    content = e.zip.read_bytes()
-    if hashlib.sha256(content).hexdigest() != sha:
+    sha = ensure(e, key, fetch, save)
+    if _sha_of(e.zip) != sha:
         e.zip.unlink()
-        sha = ensure(e, key, fetch)
-        content = e.zip.read_bytes()
+        sha = ensure(e, key, fetch, save)
     stamp = {STAMP_SHA: sha.encode(), STAMP_FILE: e.zip.name.encode()}
-    return publish(e.parquet, lambda f: parquet_batches(archive.decode_batches(content, spec), f, stamp))
+    return publish(e.parquet, lambda f: parquet_batches(archive.decode_batches(e.zip, spec), f, stamp))
 
 
-def key_of(symbol: str, interval: Interval, kind: Kind, start) -> str:
-    return archive_prefix(symbol, interval, kind) + archive_stem(symbol, interval, kind, start) + ".zip"
+def key_of(symbol: str, interval: Interval, kind: Kind, start, market: str = "spot") -> str:
+    return archive_prefix(symbol, interval, kind, market) + archive_stem(symbol, interval, kind, start) + ".zip"
 
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:

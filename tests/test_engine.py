@@ -190,6 +190,10 @@ def test_available(spark, tmp_path, fake):
     a = engine(spark, tmp_path, fake).available("BTCUSDT", HOUR)
     assert a.monthly == [day(1, 1), day(2, 1)] and a.through == day(3, 1) and a.monthly_gaps == []
     assert a.daily_gaps == [day(2, d) for d in (2, 3, 6, 7)]
+    late = engine(spark, tmp_path, fake).available("BTCUSDT", HOUR, day(2, 4, 13))
+    assert late.monthly == [day(2, 1)] and late.daily == [day(2, d) for d in (4, 5, 8)] and late.daily_gaps == [day(2, 6), day(2, 7)]
+    with pytest.raises(InvalidRequestError):
+        engine(spark, tmp_path, fake).available("BTCUSDT", HOUR, dt.datetime(2024, 2, 4))
 
 
 def test_archive_scan_equals_live(spark, tmp_path, fake):
@@ -267,6 +271,59 @@ def test_accepted(lines, n):
     assert len(decoded(*lines)) == n
 
 
+def hours(n):
+    return [changed(open_time=str(1735603200000 + h * 3_600_000), close_time=str(1735606799999 + h * 3_600_000)) for h in range(n)]
+
+
+HEADER = "open_time,open,high,low,close,volume,close_time,quote_volume,trades,a,b,ignore"
+
+
+@pytest.mark.parametrize("block", [1, 150, 700, 5_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_blocks_give_what_the_whole_gives(monkeypatch, block, end):
+    """Whatever the block, the rows or the error are the strict reader's, and the error names the same row."""
+    monkeypatch.setattr(archive, "BLOCK", block)
+    spec = archive.Spec(HOUR, dt.datetime(2024, 12, 31, tzinfo=UTC), dt.datetime(2025, 1, 1, tzinfo=UTC))
+    good = hours(20)
+    quoted = ",".join(f'"{x}"' for x in good[11].split(","))
+    files = [good, [HEADER, *good], good[:11] + [quoted] + good[12:], good[:7] + [""] + good[7:], good[:15] + good[13:], [HEADER, *good[:9], HEADER, *good[9:]], [*good[:18], "1,2"], ["\ufeff" + good[0], *good[1:]], [*good[:12], good[12] + "\u00e9"], []]
+    for lines in files:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.csv", "".join(x + end for x in lines))
+
+        def outcome(rows):
+            got = []
+            try:
+                got += rows()
+            except CorruptArchiveError as e:
+                return str(e)
+            return got
+
+        if block < 150 and lines:
+            # shorter than a line: refused as too long, or read
+            got = outcome(lambda own=out: [tuple(r.values()) for b in archive.decode_batches(own.getvalue(), spec) for r in b.to_pylist()])
+            assert got == outcome(lambda own=out: list(archive.decode(own.getvalue(), spec))) or "longer than" in got
+            continue
+        got = outcome(lambda own=out: [tuple(r.values()) for b in archive.decode_batches(own.getvalue(), spec) for r in b.to_pylist()])
+        assert got == outcome(lambda own=out: list(archive.decode(own.getvalue(), spec))), lines
+
+
+def test_blocks_stay_columnar_and_paths_are_read(monkeypatch, tmp_path):
+    monkeypatch.setattr(archive, "BLOCK", 400)
+    spec = archive.Spec(HOUR, dt.datetime(2024, 12, 31, tzinfo=UTC), dt.datetime(2025, 1, 1, tzinfo=UTC))
+    path = tmp_path / "a.zip"
+    path.write_bytes(zipped("a.zip", [x.split(",") for x in hours(20)]))
+    strict = list(archive.decode(path, spec))
+    monkeypatch.setattr(archive, "decode_csv", lambda *a: pytest.fail("the strict reader was asked"))
+    parts = list(archive.decode_batches(path, spec))
+    assert len(parts) > 3 and [tuple(r.values()) for b in parts for r in b.to_pylist()] == strict and len(strict) == 20
+    cut = tmp_path / "cut.zip"
+    cut.write_bytes(path.read_bytes()[:-30])
+    with pytest.raises(CorruptArchiveError):
+        list(archive.decode_batches(cut, spec))
+
+
 def test_zip_members():
     spec = archive.Spec(HOUR, dt.datetime(2024, 12, 31, tzinfo=UTC), dt.datetime(2025, 1, 1, tzinfo=UTC))
     for members in ((), ("a.csv", "b.csv"), ("a.txt",)):
@@ -335,9 +392,12 @@ def test_command_line(spark, tmp_path, fake, capsys, monkeypatch):
     assert code == 0 and said.out == "" and "48 candles" in said.err and len(out.read_text().splitlines()) == 49
     code, said = run("list", "--symbol", "BTCUSDT", "--interval", "1h")
     assert code == 0 and "daily archives" in said.out and "2024-02-01 .. 2024-02-02" in said.out
+    code, said = run("list", "--symbol", "BTCUSDT", "--interval", "1h", "--since", "2024-02-02")
+    assert code == 0 and "2024-02-02 .. 2024-02-02" in said.out
     code, said = run("cache")
-    assert "  archives  2  " in said.out
+    assert "  archives  2  " in said.out and "in 2 archives can be freed by prune" in said.out
     assert run("verify")[0] == 0 and "2 files" in run("prune")[1].out and "4 files" in run("evict", "--all")[1].out
+    assert "nothing matched" in run("evict", "--all")[1].out and "no cached archives" in run("prune")[1].out and "empty" in run("cache")[1].out
     assert run("evict")[0] == 2 and run("download", "--symbol", "x", "--interval", "1h", "--start", "2024-02-01")[0] == 2 and run("nothing")[0] == 2
     two = run("download", "--symbol", "BTCUSDT", "--interval", "1h,1d", "--start", "2024-02-01", "--end", "2024-02-02", "--out", "-")
     assert two[0] == 2 and [str(r.interval) for r in cli.requests_of(["btcusdt", "BTC/USDT"], ["1h,1d", "1h"], "2024-01-01", None)] == ["1h", "1d"]
@@ -454,3 +514,12 @@ def test_bytes_as_a_column(spark):
     sizes = [0, 1, 1023, 1024, 1280, 1536, 1792, 10**6, 852_500_000, 1 << 30, 3 << 40, 1 << 51]
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", text.human_bytes(F.col("n")).alias("t")).collect()
     assert {r.n: r.t for r in got} == {n: report.human_bytes(n) for n in sizes}
+
+
+def test_usage_names_what_can_go():
+    from tallow import report
+
+    rows = {"archives": (2, 2048), "parquet": (2, 100)}
+    assert report.usage("/r", rows, [1024]).endswith("\n1.0 KB in 1 archive can be freed by prune\n")
+    assert report.usage("/r", rows).endswith("nothing to prune: every archive is still needed\n")
+    assert "prune" not in report.usage("/r", {"parquet": (2, 100)}) and report.usage("/r", {}) == "/r\n\nempty\n"
