@@ -6,12 +6,13 @@ import datetime as dt
 import logging
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallow.model import CANDLE_SCHEMA, COLUMNS, Chunk, Interval, InvalidRequestError, Kind, Market, NotAvailableError, Request, instant, micros_of, month_start, next_month, normalize_symbol
@@ -119,7 +120,11 @@ class CandleEngine:
         """The request's candles. Archives are made ready before it returns; the rows themselves are read lazily."""
         now = now or self.clock()
         request = request.resolve(now)
-        waiting, ready, live = self.plan(request, now), {}, []
+        return self._assembled(request, self.plan(request, now), now)[0]
+
+    def _assembled(self, request: Request, chunks: list[Chunk], now: dt.datetime, before: int = 0, after: int = 0) -> tuple[DataFrame, int]:
+        """The candles of some of a request's chunks, and how many chunks they are in the end; before and after are numbers of other chunks."""
+        waiting, ready, live = chunks, {}, []
         while archives := [c for c in waiting if c.kind is not Kind.REST]:
             live += [c for c in waiting if c.kind is Kind.REST]
             built = self._built(request, archives)
@@ -127,11 +132,11 @@ class CandleEngine:
             waiting = planner.coalesce(sorted(s for c, n in built.items() if n is None for s in planner.substitute(c, request.interval.daily)))
         live = planner.coalesce(sorted(live + waiting))
         low, high = request.start, request.end_exclusive
-        total = len(ready) + len(live)
+        total = before + len(ready) + len(live) + after
         for i, (c, n) in enumerate(sorted(ready.items()), 1):
             self._check(request, c, n, now)
             if self.progress:
-                self.progress(Progress(i, total, c, n))
+                self.progress(Progress(before + i, total, c, n))
         parts = []
         if ready:
             places = {str(store.entry(self.root, request.symbol, request.interval, c.kind, c.start, request.market.value).parquet): i for i, c in enumerate(sorted([*ready, *live])) if c in ready}
@@ -146,7 +151,7 @@ class CandleEngine:
             rows, counts = self._checked(rows, spans, request, now)
             for i, c in enumerate(live):
                 if self.progress:
-                    self.progress(Progress(len(ready) + i + 1, total, c, counts.get(i, 0)))
+                    self.progress(Progress(before + len(ready) + i + 1, total, c, counts.get(i, 0)))
             places = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("span"))
             parts.append(rows.select(*COLUMNS, places.cast("int").alias("chunk_ord")))
         df = reduce(DataFrame.unionByName, parts)
@@ -155,7 +160,7 @@ class CandleEngine:
             # chunks that overlap: keep what rises, in their order
             df = series.strictly_increasing(df.withColumn("request", F.lit(1)), ["request"], ["chunk_ord", "open_time"])
         # otherwise every chunk's candles rise and stay in its own span, so a distributed sort is all there is to do
-        return df.select(*COLUMNS).orderBy("open_time")
+        return df.select(*COLUMNS).orderBy("open_time"), len(ready) + len(live)
 
     def _check(self, request: Request, c: Chunk, n: int, now: dt.datetime) -> None:
         start, end = max(c.start, request.start), min(c.end, request.end_exclusive)
@@ -185,9 +190,41 @@ class CandleEngine:
             r.validate()
         return {r: self.fetch(r, now) for r in dict.fromkeys(requests)}
 
-    def stream(self, request: Request) -> Iterator:
-        """Rows in order, one partition in memory at a time."""
-        return self.fetch(request).toLocalIterator(prefetchPartitions=True)
+    def stream(self, request: Request) -> Iterator[Row]:
+        """Rows in order, one partition in memory at a time.
+
+        Chunks are made ready `concurrency` at a time, the next ones while the rows of these are read, and none
+        beyond: a consumer that stops leaves the rest undone. An error comes behind the rows before it.
+        """
+        now = self.clock()
+        request = request.resolve(now)
+        return self._streamed(request, now)
+
+    def _streamed(self, request: Request, now: dt.datetime) -> Iterator[Row]:
+        chunks = sorted(self.plan(request, now))
+        groups = [chunks[i : i + self.concurrency] for i in range(0, len(chunks), self.concurrency)]
+        done, left, last = 0, len(chunks), None
+        pool = ThreadPoolExecutor(1, "tallow-ahead")
+
+        def ahead(group: list[Chunk]):
+            nonlocal left
+            left -= len(group)
+            return pool.submit(self._assembled, request, group, now, done, left)
+
+        try:
+            coming = ahead(groups[0]) if groups else None
+            for following in [*groups[1:], None]:
+                if coming is None:
+                    return
+                rows, n = coming.result()
+                done += n
+                coming = ahead(following) if following else None
+                for row in rows.toLocalIterator(prefetchPartitions=True):
+                    if last is None or row.open_time > last:  # a chunk may overlap the group before
+                        last = row.open_time
+                        yield row
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     # -- catalog
 

@@ -3,6 +3,7 @@ import hashlib
 import io
 import json
 import sys
+import time
 import zipfile
 from collections import Counter
 from decimal import Decimal
@@ -148,6 +149,45 @@ def test_missing_archive_falls_back_and_empty_span_fails(spark, tmp_path, fake):
         own.fetch(Request("BTCUSDT", HOUR, dt.datetime(2024, 2, 1)))
 
 
+def asked(fake):
+    with open(f"{fake.folder}/log") as f:
+        return {line.strip().rsplit("/", 1)[1] for line in f if line.strip().endswith(".zip")}
+
+
+def test_stream_looks_ahead_only_so_far(spark, tmp_path, fake):
+    for d in range(1, 9):
+        fake.publish(Kind.DAILY, day(2, d), broken=d == 8)
+    seen = []
+    e = engine(spark, tmp_path, fake, concurrency=2, progress=seen.append)
+    request = Request("BTCUSDT", HOUR, day(2, 1, 5), day(2, 8, 23))
+    rows = e.stream(request)
+    first = next(rows)
+    assert first.open_time == dt.datetime(2024, 2, 1, 5)
+    rows.close()
+    time.sleep(3)  # what was under way ends
+    assert {f"BTCUSDT-1h-2024-02-0{d}.zip" for d in (1, 2)} <= asked(fake) <= {f"BTCUSDT-1h-2024-02-0{d}.zip" for d in (1, 2, 3, 4)}
+    assert [p.done for p in seen][:2] == [1, 2] and {p.total for p in seen} == {8}
+    seen.clear()
+    got = []
+    with pytest.raises(Exception, match="checksum"):
+        for r in e.stream(request):
+            got.append(r.open_time)
+    assert len(got) == 6 * 24 - 5 and got == sorted(set(got)) and [p.done for p in seen] == [1, 2, 3, 4, 5, 6]
+    short = Request("BTCUSDT", HOUR, day(2, 1, 5), day(2, 6, 20))
+    assert [tuple(r) for r in e.stream(short)] == [tuple(r) for r in e.fetch(short).collect()]
+    with pytest.raises(InvalidRequestError):
+        e.stream(Request("BTCUSDT", HOUR, day(2, 2), day(2, 1)))
+
+
+def test_stream_falls_back(spark, tmp_path, fake):
+    """Groups whose archives are missing go to the live source; the rows are those of fetch."""
+    for d in (1, 2, 3, 5):
+        fake.publish(Kind.DAILY, day(2, d))
+    request = Request("BTCUSDT", HOUR, day(2, 1), day(2, 6, 7))
+    e = engine(spark, tmp_path, fake, concurrency=1)
+    assert [r.open_time for r in e.stream(request)] == [day(2, 1).replace(tzinfo=None) + dt.timedelta(hours=h) for h in range(5 * 24 + 8)]
+
+
 def test_store_upkeep(spark, tmp_path, fake):
     for d in (1, 2, 3):
         fake.publish(Kind.DAILY, day(2, d))
