@@ -50,8 +50,16 @@ def archive_period(name: Column, symbol: Column, interval: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1024-based, one decimal from KB up, halves to the even digit."""
+    """1024-based, one decimal from KB up, halves to the even digit; a decimal(38,0) where a long is too small.
+
+    The digit comes from the double itself, as printf's does: `bround` rounds its shortest text, which can look like a half.
+    """
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1)))
-    return out.otherwise(F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1)))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        v = n.cast("double") / 1024.0**power
+        # terabytes of a decimal can pass a long: two parts
+        whole = v.cast("long") if power < 4 else (v / 2.0**62).cast("long").cast("decimal(20,0)") * 2**62 + (v % 2.0**62).cast("long")
+        # no step rounds but rint: below 2**53 bytes the fraction has 40 bits at most, above that 39
+        shown = F.concat((whole + (F.rint(v % 1 * 10) / 10).cast("decimal(2,1)")).cast("string"), F.lit(f" {unit}"))
+        out = out.when(n < 1024 ** (power + 1) if power < 4 else n.isNotNull(), shown)
+    return out

@@ -38,6 +38,17 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(repr(tuple(plain(r[i]) for i in place)) for r in rel.fetchall())
 
 
+def test_human_bytes_of_large_ids(spark, tmp_path):
+    """Ids from 975,159 on make sizes that pass 64 bits, where the SQL stops with an error: Python's integers say what is right."""
+    from pyspark.sql import functions as F
+
+    ids = [0, 99_999, *range(975_140, 975_160), *range(5_999_980, 6_000_000), None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    factor = {0: 1, 1: 4096, 2: 1, 3: 262144}
+    want = {i: report.human_bytes((i * i * 37 + i % 3 * 64) * factor[i % 4]) for i in ids if i is not None} | {None: None}
+    assert {r.event_id: r["size"] for r in catalog.queries()["human_bytes"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

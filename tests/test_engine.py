@@ -556,6 +556,19 @@ def test_bytes_as_a_column(spark):
     assert {r.n: r.t for r in got} == {n: report.human_bytes(n) for n in sizes}
 
 
+def test_bytes_beyond_a_long(spark):
+    from pyspark.sql import functions as F
+
+    from tallow import report
+    from tallow.functions import text
+
+    near = [round((whole + tenths / 20) * 2**40) for whole in (4096, 8_388_000, 350_000_000) for tenths in range(1, 20, 2)]
+    sizes = [1023, 1024, 1280, 1048575, (1 << 53) + 1, (1 << 63) - 1, 1 << 63, 349_150_210_000_000_000_000, (1 << 103) - 1, 1 << 103, 10**38 - 1, *near]
+    rows = spark.createDataFrame([(Decimal(n),) for n in [*sizes, -1]], "n decimal(38,0)").withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+    got = rows.select(F.col("n").cast("string").alias("n"), text.human_bytes(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in got} == {str(n): report.human_bytes(n) for n in sizes} | {None: None}
+
+
 def test_usage_names_what_can_go():
     from tallow import report
 
